@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, url_filter
+from tidemark.llm import language, mixing, url_filter
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_mixing": mixing.op2_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
 }
