@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import language, mixing, url_filter
+from tidemark.llm import bpe, language, mixing, quality, url_filter
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op10_bpe": bpe.op10_bpe,
 }
 SQL = {
     "op2_mixing": mixing.OP2_SQL,
