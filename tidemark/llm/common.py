@@ -102,7 +102,7 @@ class HashFilter:
         while bits < min(16 * n, cls.MOST_BITS):
             bits *= 2
         place = F.col(column).bitwiseAND(bits - 1)
-        words = hashes.select(F.shiftright(place, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
+        words = hashes.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
         got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         table = np.zeros(bits // 64, np.uint64)
         table[np.asarray(got["w"]).astype(np.int64)] = np.asarray(got["b"]).astype(np.int64).view(np.uint64)
