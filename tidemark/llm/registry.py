@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fingerprint, language, media, mixing, quality, url_filter
+from tidemark.llm import bpe, fingerprint, language, media, mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
     "op5_media": media.op5_media,
     "op7_url_filter": url_filter.op7_url_filter,
     "op9_fingerprint": fingerprint.op9_fingerprint,
