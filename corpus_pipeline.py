@@ -1 +1,55 @@
-def run(s,d): raise NotImplementedError
+"""The corpus pipeline: quality, near duplicates, personal data, mixing, token ids.
+
+STAGES are applied in order to the documents table; each result is written to the shared folder and read again as the
+next one's input. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, jaccard_join, mixing, pii, quality
+from tidemark.llm.common import stored
+
+#: SQL can't express these stages; tests/llm hold them against brute force.
+ORACLE_SQL = None
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking, learned from the labels, doesn't reject."""
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where(F.col("quality_score") >= quality.CUT).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return jaccard_join.one_of_each(docs).select(*docs.columns)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without personal data; n_chars follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(docs, bpe.default_path(), keep=["doc_id", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality", keep_good), ("near duplicates", keep_one_of_each), ("personal data", sanitise), ("mixing", mix), ("encoding", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, f"pipeline-{name.replace(' ', '-')}")
+    return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import pieces
 
@@ -207,14 +207,14 @@ def _apply(docs: DataFrame, spec: dict, given: str, keep: list[str], fields: lis
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with ids (array of long)."""
+    """docs with ids (array of int)."""
 
     def make(model: Bpe, texts: list) -> list[pa.Array]:
         ids = model.encode_all([t or "" for t in texts])
         ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in ids]))).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64)))]
 
-    return _apply(docs, load(path), text, docs.columns if keep is None else keep, [StructField("ids", ArrayType(LongType()))], make)
+    return _apply(docs, load(path), text, docs.columns if keep is None else keep, [StructField("ids", ArrayType(IntegerType()))], make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fingerprint, html_text, language, media, mixing, pii, quality, url_filter
+from tidemark.llm import bpe, fingerprint, html_text, jaccard_join, language, media, mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op6_html": html_text.op6_html,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_jaccard": jaccard_join.op8_jaccard,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_bpe": bpe.op10_bpe,
 }
