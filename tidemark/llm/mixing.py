@@ -53,9 +53,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     everything = Window.partitionBy()
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
+    df = df.withColumn("place", F.row_number().over(by_level))
     left = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     df = df.withColumn("level", left / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    df = df.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+    first = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("place", "level"))).over(everything)  # the first source that isn't full
+    df = df.withColumn("level", first["level"])
     target = F.least(F.col("cap"), F.col("weight") * F.col("level"))
     df = df.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)))
     rate = F.when(F.col("source_size") <= 0, F.lit(0.0)).when(F.col("target") >= F.col("cap"), F.lit(float(most)))
@@ -101,10 +103,12 @@ WITH sized AS (
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3.0::DOUBLE * source_size AS cap FROM totals),
 levels AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS own_level
-  FROM weighted WINDOW before AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  SELECT *, row_number() OVER by_level AS place,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS own_level
+  FROM weighted WINDOW by_level AS (ORDER BY cap / weight, source ASC NULLS LAST),
+       before AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 shared AS (
-  SELECT source, source_size, cap, CASE WHEN source_size > 0 THEN least(cap, weight * min(own_level) FILTER (own_level <= cap / weight) OVER ()) ELSE 0 END::DOUBLE AS target
+  SELECT source, source_size, cap, CASE WHEN source_size > 0 THEN least(cap, weight * arg_min(own_level, place) FILTER (own_level <= cap / weight) OVER ()) ELSE 0 END::DOUBLE AS target
   FROM levels),
 rated AS (
   SELECT sized.*, source_size, target, CASE WHEN source_size <= 0 THEN 0 WHEN target >= cap THEN 3.0 ELSE target / source_size END::DOUBLE AS rate,
