@@ -212,7 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     def make(model: Bpe, texts: list) -> list[pa.Array]:
         ids = model.encode_all([t or "" for t in texts])
         ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in ids]))).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int64)))]
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))]
 
     return _apply(docs, load(path), text, docs.columns if keep is None else keep, [StructField("ids", ArrayType(IntegerType()))], make)
 
