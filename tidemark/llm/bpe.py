@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import pieces
+from tidemark.llm.common import CACHES, map_arrow, pieces
 
-MOST_WORDS = 500_000  # words whose encodings a worker keeps
+MOST_WORDS = 300_000  # words whose encodings a worker keeps
 
 
 def _byte_symbols() -> list[str]:
@@ -97,7 +97,7 @@ class Bpe:
 
     def can_follow(self, a: str, b: str) -> bool:
         if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merged(self.start(a) + self.start(b)) == [a, b]
         return known
@@ -188,6 +188,7 @@ def _model(spec: str) -> Bpe:
     key = hashlib.md5(spec.encode()).hexdigest()
     if key not in _models:
         _models[key] = Bpe(json.loads(spec))
+        CACHES.append(_models[key].codes)
     return _models[key]
 
 
@@ -203,7 +204,7 @@ def _apply(docs: DataFrame, spec: dict, given: str, keep: list[str], fields: lis
             rest = batch.drop_columns(["_in"])
             yield pa.RecordBatch.from_arrays([*rest.columns, *make(model, batch.column("_in").to_pylist())], [*rest.schema.names, *(f.name for f in fields)])
 
-    return rows.mapInArrow(run, StructType([*rows.drop("_in").schema.fields, *fields]))
+    return rows.transform(map_arrow, run, StructType([*rows.drop("_in").schema.fields, *fields]))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -48,12 +48,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
+#: What a worker process keeps between batches; emptied after every task, so stages that follow each other don't add up.
+CACHES: list = []
+ROWS = 1000  # rows of an Arrow batch: texts are long, and both sides of the pipe hold whole batches
+
+
+def _clear() -> None:
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of at most ROWS rows, with the worker's caches emptied at the end of a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _clear()
+
+    return df.mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; emptied when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
+        CACHES.append(self)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import mix64, pieces, text_hash
+from tidemark.llm.common import CACHES, map_arrow, mix64, pieces, text_hash
 
 SAMPLES = 64
 BUCKET_BYTES = 8 << 20
@@ -104,6 +104,7 @@ _samplers: list[Sampler] = []
 def _sampler() -> Sampler:
     if not _samplers:
         _samplers.append(Sampler())
+        CACHES.append(_samplers[0].place)
     return _samplers[0]
 
 
@@ -118,7 +119,7 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
             found = [text_of(_sampler().sign(t or "")) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.string())], [*rest.schema.names, name])
 
-    return given.mapInArrow(run, StructType([*given.drop("_text").schema.fields, StructField(name, StringType())]))
+    return given.transform(map_arrow, run, StructType([*given.drop("_text").schema.fields, StructField(name, StringType())]))
 
 
 def edited(text: str, following: str) -> str:
@@ -183,7 +184,7 @@ def compare_with_edited(docs: DataFrame, text: str = "text", key: str = "doc_id"
                 kinds = [batch.schema.field("key").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.transform(map_arrow, run, schema)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.llm.common import WordHashes, mix64, pieces, stored
+from tidemark.llm.common import WordHashes, map_arrow, mix64, pieces, stored
 from tidemark.llm.url_filter import host_and_path
 
 RUN, LEAST_PAGES, LEAST_SHARE, SHARD = 8, 3, 0.1, 1_000_000
@@ -174,7 +174,7 @@ def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int
             columns = [batch.column("host"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()), pa.array(list(map(len, found)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["host", "key", "tokens", "n"])
 
-    rows = given.mapInArrow(streams, "host string, key binary, tokens binary, n long").where(F.col("n") >= run)
+    rows = given.transform(map_arrow, streams, "host string, key binary, tokens binary, n long").where(F.col("n") >= run)
     rows = stored(rows.groupBy("host", "key").agg(F.any_value("tokens").alias("tokens"), F.max("n").alias("n")), "html-streams")
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.ceil(F.sum("n") / shard).alias("shards"))
     dealt = rows.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards"))).select("host", "shard", "tokens")
@@ -210,9 +210,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", run: int = R
                 columns = [pa.array([hashlib.md5(s.tobytes()).digest() for s in streams], pa.binary()), pa.array(grams, pa.list_(pa.int64())), pa.array([[f"{z}{t}" for z, t in parsed[i]] for i in at], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "_key", "_grams", "_lines"])
 
-    done = given.mapInArrow(lambda b: settled(b, False), StructType([*fields, StructField(name, StringType())]))
+    done = given.transform(map_arrow, lambda b: settled(b, False), StructType([*fields, StructField(name, StringType())]))
     more = StructType.fromDDL("_host string, _key binary, _grams array<long>, _lines array<string>").fields
-    opened = stored(given.mapInArrow(lambda b: settled(b, True), StructType([*fields, *more])), "html-open")
+    opened = stored(given.transform(map_arrow, lambda b: settled(b, True), StructType([*fields, *more])), "html-open")
     places = opened.groupBy("_host", "_key").agg(F.any_value("_grams").alias("_grams")).select("_host", "_key", F.posexplode("_grams").alias("place", "gram"))
     covered = places.join(found, (F.col("_host") == F.col("host")) & (places["gram"] == found["gram"])).groupBy("_host", "_key").agg(F.collect_set("place").alias("_covered"))
     joined = opened.drop("_grams").join(covered, ["_host", "_key"], "left").drop("_host", "_key")
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", run: int = R
             text = [without_runs(lines, places or [], run) for lines, places in zip(batch.column("_lines").to_pylist(), batch.column("_covered").to_pylist())]
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(text, pa.string())], [*rest.schema.names, name])
 
-    return done.unionByName(joined.mapInArrow(cut, StructType([*fields, StructField(name, StringType())])))
+    return done.unionByName(joined.transform(map_arrow, cut, StructType([*fields, StructField(name, StringType())])))
 
 
 def without_runs(lines: list[str], starts: list[int], run: int) -> str:

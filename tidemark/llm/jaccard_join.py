@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HashFilter, WordHashes, mix64, pieces, stored, text_hash
+from tidemark.llm.common import HashFilter, WordHashes, map_arrow, mix64, pieces, stored, text_hash
 from tidemark.llm.components import components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -90,7 +90,7 @@ def classes(docs: DataFrame, text: str = "text", ngram: int = NGRAM) -> DataFram
             found = [sketch(ngram_set(t, ngram)).tobytes() for t in counts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(found, pa.binary())], ["key", "copies", "sketch"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(run, "key binary, copies long, sketch binary")
+    rows = docs.select(F.col(f"`{text}`").alias("_text")).transform(map_arrow, run, "key binary, copies long, sketch binary")
     return stored(rows.groupBy("key").agg(F.sum("copies").alias("copies"), F.any_value("sketch").alias("sketch")), "join-classes")
 
 
@@ -209,19 +209,19 @@ def candidate_edges(found: DataFrame, threshold: float = THRESHOLD, recall: floa
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in edges], pa.binary()), pa.array([keys[b] for _, b in edges], pa.binary())], ["a", "b"])
 
-    edges, level = None, sets.mapInArrow(start, "key binary, path long")
+    edges, level = None, sets.transform(map_arrow, start, "key binary, path long")
     for d in range(1, depth + 1):
         level = stored(level.distinct() if d > 1 else level, f"join-level{d}")
         met = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         rows = stored(level.join(met, "path"), f"join-met{d}")
         last = d == depth
         small = _dealt(rows if last else rows.where(F.col("size") <= leaf), "path", "size", BLOCK).join(sets, "key")
-        part = small.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(compare, "a binary, b binary")
+        part = small.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").transform(map_arrow, compare, "a binary, b binary")
         part = stored(part.distinct(), f"join-edges{d}")
         edges = part if edges is None else edges.union(part)
         if last or not (large := rows.where(F.col("size") > leaf)).limit(1).count():
             break
-        level = large.select("key", "path").join(sets, "key").select("key", "path", "sketch").mapInArrow(deeper, "key binary, path long")
+        level = large.select("key", "path").join(sets, "key").select("key", "path", "sketch").transform(map_arrow, deeper, "key binary, path long")
     return edges.distinct()
 
 
@@ -247,7 +247,7 @@ def jaccard_links(docs: DataFrame, text: str = "text", threshold: float = THRESH
             grams = [ngram_set(texts[i], ngram).tobytes() for i in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in wanted], pa.binary()), pa.array(grams, pa.binary())], ["key", "grams"])
 
-    whole = docs.select(F.col(f"`{text}`").alias("_text")).mapInArrow(sets, "key binary, grams binary").groupBy("key").agg(F.any_value("grams").alias("grams"))
+    whole = docs.select(F.col(f"`{text}`").alias("_text")).transform(map_arrow, sets, "key binary, grams binary").groupBy("key").agg(F.any_value("grams").alias("grams"))
     members = groups.join(sizes, "component").withColumn("group", F.xxhash64("component"))
     dealt = _dealt(members.join(whole, "key").select("group", "size", "key", "copies", "grams"), "group", "size", block)
 
@@ -260,7 +260,7 @@ def jaccard_links(docs: DataFrame, text: str = "text", threshold: float = THRESH
             to = [keys[near[i]] if i in near else None for i in at]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(links[at], pa.int64()), pa.array(to, pa.binary())], ["key", "links", "to"])
 
-    checked = stored(dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(verify, "key binary, links long, to binary"), "join-links")
+    checked = stored(dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").transform(map_arrow, verify, "key binary, links long, to binary"), "join-links")
     linked = components(checked.where("to is not null").select(F.col("key").alias("a"), F.col("to").alias("b")))
     counts = checked.groupBy("key").agg(F.sum("links").alias("links"))
     out = found.select("key", "copies").join(linked.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")

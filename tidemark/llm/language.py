@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import pieces
+from tidemark.llm.common import map_arrow, pieces
 
 PROFILE = 400  # n-grams of a language's profile
 MOST_N = 3
@@ -95,7 +95,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """Language profiles from every row of docs. Only `size` numbers a language reach the driver."""
     given = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
-    counts = given.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = given.transform(map_arrow, _count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
     profiles: dict[str, list[int]] = {}
@@ -145,7 +145,7 @@ def detect(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             rest = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], [*rest.schema.names, "lang_pred", "score"])
 
-    return given.mapInArrow(run, schema)
+    return given.transform(map_arrow, run, schema)
 
 
 def held_out(key: Column, parts: int, rest: int) -> Column:

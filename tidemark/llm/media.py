@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import HashFilter, pieces, stored
+from tidemark.llm.common import HashFilter, map_arrow, pieces, stored
 
 WIDTH = 576  # samples in a row of the stored image
 CUT_BITS, LEAST, MOST = 11, 512, 8192
@@ -105,7 +105,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> MediaStor
             names = list(found)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(_low(names), pa.int64()), pa.array(list(found.values()), pa.int64())], ["digest", "low", "n"])
 
-    counted = given.select("_text").mapInArrow(count, "digest binary, low long, n long")
+    counted = given.select("_text").transform(map_arrow, count, "digest binary, low long, n long")
     shared = stored(counted.groupBy("digest", "low").agg(F.sum("n").alias("n")).where("n > 1").select("low"), "media-shared")
     sent = docs.sparkSession.sparkContext.broadcast(HashFilter.build(shared, "low"))
 
@@ -132,8 +132,8 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> MediaStor
 
     head = given.schema["id"]
     schema = f"id {head.dataType.simpleString()}, key binary, n_bytes long, shared boolean, digests array<binary>, chunks array<binary>"
-    kept = stored(given.mapInArrow(objects, schema), "media-objects")
-    single = stored(given.select("_text").mapInArrow(loose, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data")), "media-chunks")
+    kept = stored(given.transform(map_arrow, objects, schema), "media-objects")
+    single = stored(given.select("_text").transform(map_arrow, loose, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data")), "media-chunks")
     return MediaStore(kept, single)
 
 
@@ -160,7 +160,7 @@ def read(kept: MediaStore, use: Callable[[bytes], tuple] = lambda media: (media,
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [to_arrow_type(f.dataType) for f in fields]
-    add = lambda df: df.mapInArrow(rebuild, StructType([*df.drop("digests", "chunks").schema.fields, *fields.fields]))
+    add = lambda df: df.transform(map_arrow, rebuild, StructType([*df.drop("digests", "chunks").schema.fields, *fields.fields]))
     own = add(kept.objects.where("not shared").select("id", "key", "n_bytes", "digests", "chunks")).drop("key")
     lists = kept.objects.where("shared").select("id", "key", "n_bytes", "digests")
     parts = lists.groupBy("key").agg(F.any_value("digests").alias("digests")).select("key", "digests", F.posexplode("digests").alias("place", "digest"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tidemark.llm.common import pieces, stored
+from tidemark.llm.common import map_arrow, pieces, stored
 
 WINDOW, DISCLOSURE, SUPPORT, BLOCK = 5, 0.8, 3, 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -125,7 +125,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", window: int = WINDOW,
             cols = list(zip(*found)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(list(found.values()), pa.int64())], ["entity", "term", "key", "n"])
 
-    pairs = given.mapInArrow(near, "entity string, term string, key binary, n long")
+    pairs = given.transform(map_arrow, near, "entity string, term string, key binary, n long")
     pairs = pairs.groupBy("entity", "term", "key").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
     pairs = stored(pairs.where((F.col("texts") >= support) | (F.col("term") == "")), "pii-pairs")
     near_counts = pairs.where("term <> ''")
@@ -142,7 +142,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", window: int = WINDOW,
                         total.update(wanted.intersection(_word.findall(t.lower())))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
-        part = given.mapInArrow(count, "term string, n long")
+        part = given.transform(map_arrow, count, "term string, n long")
         counts = part if counts is None else counts.union(part)
     if counts is None:
         return near_counts.select("term", F.col("n").alias("n_near"), F.col("n").alias("n_term"), F.lit(0.0).alias("share"))
@@ -179,7 +179,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, blo
             values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in flat.T], ["kind", "start", "end"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.ListArray.from_arrays(pa.array(ends), values)], [*rest.schema.names, "pii_spans"])
 
-    return given.mapInArrow(run, StructType([*given.drop("_text").schema.fields, StructField("pii_spans", SPANS)]))
+    return given.transform(map_arrow, run, StructType([*given.drop("_text").schema.fields, StructField("pii_spans", SPANS)]))
 
 
 def with_terms(text: str, spans: list[Span], terms: frozenset[str]) -> list[Span]:
@@ -220,7 +220,7 @@ def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
             new = pa.array([None if t is None else replaced(t, [(s["kind"], s["start"], s["end"]) for s in spans]) if spans else t for t, spans in rows], batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(batch.drop_columns(["pii_spans"]).columns)], [n for n in batch.schema.names if n != "pii_spans"])
 
-    return found.mapInArrow(run, schema)
+    return found.transform(map_arrow, run, schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tidemark.llm.common import pieces
+from tidemark.llm.common import CACHES, map_arrow, pieces
 from tidemark.llm.language import held_out
 
 MOST_ROWS = 20_000
@@ -58,13 +58,14 @@ def _word_kind(word: str) -> int:
 
 class _Kinds(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = kind = _word_kind(word)
         return kind
 
 
 _kinds = _Kinds()
+CACHES.append(_kinds)
 
 
 def features(text: str | None) -> list[float]:
@@ -155,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sample = usable.orderBy(F.xxhash64("_key"), "_key", "_label").limit(most_rows)
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key").select("_text", "_label")
     schema = StructType([StructField("label", IntegerType()), StructField("x", ArrayType(DoubleType()))])
-    got = rows.mapInArrow(_feature_batches, schema).toArrow()
+    got = rows.transform(map_arrow, _feature_batches, schema).toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = np.asarray(got["label"]).astype(np.int64)
     order = np.lexsort((*x.T, y)) if len(y) else slice(None)  # the order in which rows arrive must not matter
@@ -174,7 +175,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             rest = batch.drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(model.score(x))], [*rest.schema.names, "quality_score"])
 
-    return given.mapInArrow(run, schema)
+    return given.transform(map_arrow, run, schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
