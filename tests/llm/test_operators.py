@@ -160,5 +160,19 @@ def test_jaccard_join_is_exact(spark, leaf, block):
     assert all(found[hashlib.md5((t or "").encode()).digest()] == links[k] for k, t in rows)
 
 
+def test_exact_links_between_blocks():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        own = rng.integers(0, 1 << 62, rng.integers(0, 9)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([rng.choice(base, rng.integers(30, 41), replace=False), own])))
+    rows, columns, copies = np.arange(0, 20), np.arange(20, 40), rng.integers(1, 4, 40)
+    want = {(i, j) for i in rows.tolist() for j in columns.tolist() if len(x := np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) and len(x)}
+    links, a, b = jaccard_join.exact_links(sets, copies, 0.8, rows, columns)
+    assert set(zip(a.tolist(), b.tolist())) == want and 0 < len(want) < 400
+    assert links.tolist() == [sum(int(copies[y if x == k else x]) for x, y in want if k in (x, y)) for k in range(40)]
+
+
 def test_crc_of_tail():
     assert media.describe(media.to_media(media.payload_of("")))[2] == zlib.crc32(b"\xff" * 32)

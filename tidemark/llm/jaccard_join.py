@@ -312,9 +312,8 @@ def exact_links(sets: list[np.ndarray], copies: np.ndarray, threshold: float, ro
     starts = np.concatenate(([0], np.cumsum(sizes[columns])[:-1]))
     inside = np.zeros(len(everything), np.int8)
     for k, i in enumerate(rows.tolist()):
-        at = np.searchsorted(everything, sets[i])
-        at = at[at < len(everything)]
-        at = at[np.isin(everything[at], sets[i], assume_unique=True)] if not same else at
+        at = np.minimum(np.searchsorted(everything, sets[i]), len(everything) - 1)
+        at = at[everything[at] == sets[i]]  # with another block, some of the set is nowhere in it
         inside[at] = 1
         common = np.add.reduceat(inside[ids], starts, dtype=np.int64)
         inside[at] = 0
