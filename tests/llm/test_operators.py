@@ -174,5 +174,12 @@ def test_exact_links_between_blocks():
     assert links.tolist() == [sum(int(copies[y if x == k else x]) for x, y in want if k in (x, y)) for k in range(40)]
 
 
+def test_exact_links_ignore_ngrams_of_one_side():
+    shared, own = np.arange(1, 21) << 40, (np.arange(1, 6) + 49_000) << 40  # own ones stand side by side before the other's last
+    sets = [np.concatenate([shared, own]).astype(np.uint64), np.append(shared, 50_000 << 40).astype(np.uint64)]
+    links, a, b = jaccard_join.exact_links(sets, np.array([1, 1]), 0.8, np.array([0]), np.array([1]))  # 20 of 26
+    assert not links.any() and not len(a) and not len(b)
+
+
 def test_crc_of_tail():
     assert media.describe(media.to_media(media.payload_of("")))[2] == zlib.crc32(b"\xff" * 32)
