@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import physics
-from tidemark.operators import describe, exceedance, extremes, joins, joint, profile, spectra, trend, verify, windows
+from tidemark.operators import conditional, describe, exceedance, extremes, hierarchical, joins, joint, profile, return_tables, spectra, trend, verify, water, windows
 from tidemark.sources.text import table_to_csv
 from tidemark.streaming.peaks import streaming_peaks
 
@@ -430,3 +430,88 @@ def joint_contour(spark, d):
     return joint.contour(spark, _sea(spark, d), "hs", "tp", 0.5, 100, 3.0)
 
 
+
+
+# values given classes of another variable
+
+
+def _classes_sql(table: str, value: str, by: str, width: float, top: float) -> str:
+    count = -int(-top // width)
+    parts = ", ".join(f"CASE WHEN n > 10 THEN round({c}, 6) END AS {c}" for c in ("p5", "mean", "std", "p95"))
+    return f"""WITH g AS (SELECT floor({by} / {width})::INT AS k, count(*) n, quantile_cont({value}, 0.05) p5, avg({value}) mean, stddev_samp({value}) std, quantile_cont({value}, 0.95) p95
+FROM {table} WHERE {by} BETWEEN 0 AND {count * width} GROUP BY 1)
+SELECT s.k::INT AS k, (s.k + 0.5) * {width}::DOUBLE AS centre, coalesce(n, 0) AS n, {parts} FROM (SELECT unnest(range({count})) AS k) s LEFT JOIN g USING (k)"""
+
+
+@query(_classes_sql("lineitem", "l_extendedprice", "l_quantity", 5.0, 60.0))
+def given_classes(spark, d):
+    return conditional.given_classes(_line(spark, d), "l_extendedprice", "l_quantity", 5.0, 60.0)
+
+
+@query()
+def given_classes_curve(spark, d):
+    return conditional.with_curve(conditional.given_classes(_sea(spark, d), "tp", "hs", 0.5, 12.0), "current_on_height")
+
+
+# tide
+
+_STEPS = f"(SELECT x - avg(x) OVER () AS x, ((epoch(ts) - min(epoch(ts)) OVER ()) / 3600)::BIGINT AS k, ((max(epoch(ts)) OVER () - min(epoch(ts)) OVER ()) / 3600)::BIGINT AS last FROM {HOURLY})"
+
+
+def _tide_sql() -> str:
+    parts = []
+    for name, period, whole in (("m2", 12.42, 621), ("s2", 12.0, 12), ("k1", 23.934, 11967), ("o1", 25.82, 1291)):
+        upto, angle = f"(last // {whole}) * {whole}", f"(2 * pi() / {period}) * k"
+        sums = [f"sum(x * {f}({angle})) FILTER (k <= {upto})" for f in ("cos", "sin")]
+        parts.append(f"CASE WHEN max({upto}) > 0 THEN 2 / max({upto}) * sqrt(pow({sums[0]}, 2) + pow({sums[1]}, 2)) ELSE 0 END AS {name}")
+    return f"""WITH a AS (SELECT {', '.join(parts)} FROM {_STEPS}), f AS (SELECT *, (k1 + o1) / (m2 + s2) AS f FROM a)
+SELECT round(m2, 6) AS m2, round(s2, 6) AS s2, round(k1, 6) AS k1, round(o1, 6) AS o1, round(f, 6) AS form_factor,
+CASE WHEN f < 0.25 THEN 'semi-diurnal' WHEN f < 1.5 THEN 'mixed, mainly semi-diurnal' WHEN f < 3 THEN 'mixed, mainly diurnal' ELSE 'diurnal' END AS type FROM f"""
+
+
+@query(_tide_sql())
+def tide_type(spark, d):
+    return water.tide_type(_hourly(spark, d), "ts", "x")
+
+
+@query(f"""WITH s AS (SELECT ts, x, ((epoch(ts) - min(epoch(ts)) OVER ()) / 3600)::BIGINT AS k FROM {HOURLY}), l AS (SELECT regr_slope(x, k) b, regr_intercept(x, k) a FROM s)
+SELECT ts::VARCHAR AS ts, x, round(x - a - b * k, 6) AS detrended FROM s, l""")
+def without_trend(spark, d):
+    return water.without_trend(_hourly(spark, d), "ts", "x").withColumn("ts", F.col("ts").cast("string"))
+
+
+# return values from all rows
+
+
+def _all_rows_sql(table: str, ts: str, value: str, key: str, name: str, factor: float) -> str:
+    return f"""WITH g AS (SELECT {key} AS {name}, count(*) n, floor((max(epoch({ts}::TIMESTAMP)) - min(epoch({ts}::TIMESTAMP))) / 86400) + 1 AS days, min({value}) lo, avg({value}) m FROM {table} GROUP BY GROUPING SETS (({name}), ())),
+v AS (SELECT {name}, n, p AS period, ln(CASE WHEN {name} IS NULL THEN 1 ELSE {factor} END * p * 365.2422 * 24 / (days * 24.0 / n)) * (m - lo) + lo AS value FROM g, (SELECT unnest([1, 10, 100]) AS p))
+SELECT v.{name}, round(100.0 * v.n / t.n, 6) AS share, v.period::DOUBLE AS period, round(least(v.value, t.value), 6) AS value FROM v JOIN v t ON t.period = v.period AND t.{name} IS NULL"""
+
+
+@query(_all_rows_sql("orders", "o_orderdate", "o_totalprice", "month(o_orderdate)::INT", "month", 1.0))
+def monthly_return_table(spark, d):
+    return return_tables.monthly(_orders(spark, d), "o_orderdate", "o_totalprice", (1, 10, 100), "EXP")
+
+
+@query(_all_rows_sql("orders", "o_orderdate", "o_totalprice", SECTOR.format(d="o_orderkey * 137.5"), "sector", 6.0))
+def directional_return_table(spark, d):
+    return return_tables.directional(_orders(spark, d), "o_orderdate", "o_totalprice", "dir", (1, 10, 100), "EXP")
+
+
+@query()
+def directional_return_table_weibull(spark, d):
+    return return_tables.directional(_orders(spark, d), "o_orderdate", "o_totalprice", "dir")
+
+
+# hierarchical joint models
+
+
+@query()
+def joint_model_parameters(spark, d):
+    return hierarchical.parameters(spark, hierarchical.fit(_sea(spark, d), ["hs", "tp"]))
+
+
+@query()
+def joint_model_contour(spark, d):
+    return hierarchical.contour(spark, hierarchical.fit(_sea(spark, d), ["hs", "tp"]), 100.0, 3.0, method="ISORM")
