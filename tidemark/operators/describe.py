@@ -61,3 +61,11 @@ def sorted_by_bins(df: DataFrame, value: str, by: str, step: float = 1.0) -> Dat
     """Statistics of value by classes [k step, (k + 1) step) of another variable, and over all rows."""
     keyed = clean(df, value, by).withColumn("class", bin_left(F.col(by), step))
     return grouped(keyed, [["class"], []], value, ("count", "min", "5%", "mean", "95%", "max"))
+
+
+def monthly_every_year(df: DataFrame, ts: str, value: str, stats: Sequence[str] = ("P25", "mean", "P75", "P99", "max")) -> DataFrame:
+    """Statistics of every month from January of the first to December of the last year; null in months without rows."""
+    found = grouped(clean(df, value).withColumns({"year": F.year(ts), "month": F.month(ts)}), [["year", "month"]], value, stats)
+    years = df.agg(F.min(F.year(ts)).alias("a"), F.max(F.year(ts)).alias("b")).where("a is not null")
+    spine = years.select(F.explode(F.sequence("a", "b")).alias("year")).withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return spine.join(found, ["year", "month"], "left")

@@ -100,3 +100,25 @@ def return_values(extremes: DataFrame, value: str, distribution: str, periods: S
         bounds = F.when(F.col("_replicate") > 0, F.col("value"))
         aggs += [F.percentile(bounds, (1 - level) / 2).alias("low"), F.percentile(bounds, (1 + level) / 2).alias("high")]
     return fitted.groupBy(*keys, "period").agg(*aggs)
+
+
+def threshold_sensitivity(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], period: float, names: Sequence[str] = ("EXP",), hours: float = 48) -> DataFrame:
+    """threshold, distribution, n, value: the return value of one period for peaks over each threshold.
+
+    Distributions are fitted to the excesses; the rate is peaks a calendar year from the first to the last year. A task
+    holds the peaks over one threshold. Fewer than three peaks give a null value.
+    """
+    years = df.agg((F.max(F.year(ts)) - F.min(F.year(ts)) + 1).alias("_years"))
+    cells = df.select(ts, value).withColumn("threshold", F.explode(F.array(*(F.lit(float(u)) for u in thresholds))))
+    peaks = peaks_over_threshold(cells, ts, value, F.col("threshold"), hours, ["threshold"]).select("threshold", "value")
+
+    def fit(pdf):
+        import pandas as pd
+
+        u, n = float(pdf["threshold"].iloc[0]), len(pdf)
+        p = np.array([min(float(pdf["_years"].iloc[0]) / (period * n), 1 - 1e-9)])
+        over = pdf["value"].to_numpy(float) - u
+        found = [float(distributions.return_value(name, over, p)[0]) + u if n > 2 else None for name in names]
+        return pd.DataFrame({"threshold": u, "distribution": list(names), "n": n, "value": pd.Series(found, dtype=float)})
+
+    return peaks.crossJoin(F.broadcast(years)).groupBy("threshold").applyInPandas(fit, "threshold double, distribution string, n long, value double")

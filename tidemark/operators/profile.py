@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -40,3 +41,11 @@ def conditional_profiles(df: DataFrame, levels: dict[float, str], worst: dict[fl
         return F.struct(F.lit(zs[d]).alias("worst_level"), F.lit(zs[j]).alias("level"), F.round(w if j == d else F.least(v, F.lit(float(worst[zs[j]]))), 6).alias("value"))
 
     return row.select(F.explode(F.array(*(cell(j, d) for d, j in pairs))).alias("c")).select("c.*")
+
+
+def shear(df: DataFrame, low: tuple[float, str], high: tuple[float, str], percentiles: Sequence[float] = (0.25, 0.75)) -> DataFrame:
+    """Median and percentiles of the power-law exponent between two levels; rows without two positive speeds don't count."""
+    (z1, a), (z2, b) = low, high
+    alpha = F.when((F.col(a) > 0) & (F.col(b) > 0), F.log(F.col(b) / F.col(a)) / F.lit(math.log(z2 / z1)))
+    wanted = {"median": 0.5} | {f"p{100 * p:g}": p for p in percentiles}
+    return clean(df, a, b).select(alpha.alias("alpha")).agg(F.count("alpha").alias("n"), *(F.round(F.percentile("alpha", p), 6).alias(n) for n, p in wanted.items()))

@@ -39,3 +39,21 @@ def highest(params: DataFrame, key: str, by: list[str], k: int = 3) -> DataFrame
     """The k spectra of each group with the greatest hm0."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("hm0").desc(), key))
     return params.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def wind_sea_and_swell(found: DataFrame, key: list[str], speed: str, direction: str, directions: int, f0: float, df: float, beta: float = 1.3) -> DataFrame:
+    """Height and peak frequency of the cells that the wind can feed (wind sea) and of the others (swell), a row a key.
+
+    A cell is wind sea if beta * speed / phase speed * cos(angle to the wind) exceeds 1; phase speed is that of deep water.
+    found: cells() with the wind's columns among the keys. A part without energy has height 0 and a null frequency.
+    """
+    freq = f0 + F.col("f") * df
+    angle = F.radians(F.col("d") * (360.0 / directions) - F.col(direction))
+    sea = beta * F.col(speed) * freq * (2 * 3.141592653589793 / 9.81) * F.cos(angle) > 1
+    area = df * 2 * 3.141592653589793 / directions
+    lines = found.groupBy(*key, "f").agg(*(F.sum(F.when(c, F.col("e")).otherwise(0.0)).alias(n) for n, c in (("sea", sea), ("swell", ~sea))))
+    parts = []
+    for n in ("sea", "swell"):
+        top = F.max(F.when(F.col(n) > 0, F.struct(F.col(n), -F.col("f"))))
+        parts += [F.round(4 * F.sqrt(F.sum(n) * area), 5).alias(f"hm0_{n}"), F.round(f0 - top.getField("col2") * df, 6).alias(f"fp_{n}")]
+    return lines.groupBy(*key).agg(*parts)

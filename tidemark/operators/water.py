@@ -53,3 +53,12 @@ def without_trend(df: DataFrame, ts: str, value: str, hours: float = 1.0) -> Dat
     rows = _indexed(df, ts, value, hours)
     line = rows.agg(F.regr_slope(value, "_k").alias("_b"), F.regr_intercept(value, "_k").alias("_a"))
     return rows.crossJoin(F.broadcast(line)).withColumn("detrended", F.round(F.col(value) - F.col("_a") - F.col("_b") * F.col("_k"), 6)).drop("_a", "_b", "_k", "_x", "_n")
+
+
+def water_levels(df: DataFrame, components: dict[str, str], pressure: str) -> DataFrame:
+    """component, least, greatest: extremes of each water-level column, and of the surge that air pressure (hPa) alone makes."""
+    cols = list(components.values())
+    row = clean(df, *cols, pressure).agg(*(f(c).alias(f"{n}_{a}") for a, c in components.items() for n, f in (("lo", F.min), ("hi", F.max))), F.min(pressure).alias("p0"), F.avg(pressure).alias("pm"), F.max(pressure).alias("p1"))
+    cells = [(a, F.col(f"lo_{a}"), F.col(f"hi_{a}")) for a in components] + [("pressure surge", -0.01 * (F.col("p1") - F.col("pm")), -0.01 * (F.col("p0") - F.col("pm")))]
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("component"), F.round(lo, 6).alias("least"), F.round(hi, 6).alias("greatest")) for a, lo, hi in cells)))
+    return row.select(pairs.alias("p")).select("p.*")

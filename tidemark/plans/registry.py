@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import physics
-from tidemark.operators import conditional, describe, exceedance, extremes, hierarchical, joins, joint, profile, return_tables, spectra, trend, verify, water, windows
+from tidemark.functions import corrections, physics
+from tidemark.operators import conditional, currents, describe, exceedance, extremes, hierarchical, joins, joint, profile, return_tables, spectra, trend, verify, water, windows
 from tidemark.sources.text import table_to_csv
 from tidemark.streaming.peaks import streaming_peaks
 
@@ -515,3 +515,108 @@ def joint_model_parameters(spark, d):
 @query()
 def joint_model_contour(spark, d):
     return hierarchical.contour(spark, hierarchical.fit(_sea(spark, d), ["hs", "tp"]), 100.0, 3.0, method="ISORM")
+
+
+# corrections and conversions
+
+
+@query("""SELECT o_orderkey, round(CASE WHEN w > 15 THEN w + 0.1 * (w - 15) ELSE w END, 6) AS wind, round(CASE WHEN w - 10 < 0 THEN 1.07 * (w - 10) WHEN w - 10 > 15 THEN w - 10 + 0.3 * (w - 25) ELSE w - 10 END, 6) AS air,
+round(CASE WHEN w / 2 >= 3.2 THEN round(3.244 * exp(0.09525 * (ln(w / 2 / 3.244) / 0.09525 - ((o_orderkey * 7919) % 1000 / 1000 - 0.5))), 1) ELSE w / 2 END, 6) AS tp,
+round(CASE WHEN w <= 10 THEN w - 10 - (0.25 + 0.01) ELSE w - 10 + 0.25 + 0.01 END, 6) AS degrees, round(w * 1.220 / 1.225, 6) AS wind_50m FROM (SELECT o_orderkey, o_totalprice / 15000 AS w FROM orders)""")
+def corrected_series(spark, d):
+    w = F.col("w")
+    noise = F.pmod(F.col("o_orderkey") * 7919, F.lit(1000)) / 1000 - 0.5
+    found = {
+        "wind": corrections.strong_wind(w), "air": corrections.air_temperature(w - 10), "tp": corrections.spread_period(w / 2, noise),
+        "degrees": corrections.decimal_degrees(w - 10, F.lit(15.0), F.lit(36.0)), "wind_50m": corrections.wind_at(w, 10, 5, 50, 600),
+    }
+    rows = _t(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 15000).alias("w"))
+    return rows.select("o_orderkey", *(F.round(c, 6).alias(n) for n, c in found.items()))
+
+
+@query("""SELECT event_id, round(sqrt(u * u + v * v), 6) AS speed, CASE WHEN u = 0 AND v = 0 THEN 0 ELSE round((degrees(atan2(u, v)) + 360) % 360, 2) END AS towards
+FROM (SELECT event_id, value - 100 AS u, (event_id % 200)::DOUBLE - 100 AS v FROM events)""")
+def current_vectors(spark, d):
+    rows = _t(spark, d, "events").select("event_id", (F.col("value") - 100).alias("u"), (F.col("event_id") % 200).cast("double").alias("v")).withColumn("v", F.col("v") - 100)
+    return rows.select("event_id", F.round(corrections.magnitude(F.col("u"), F.col("v")), 6).alias("speed"), corrections.towards(F.col("u"), F.col("v")).alias("towards"))
+
+
+def _steep_sql(t: str, low: str, t1: int, high: str, t2: int) -> str:
+    h1, h2 = f"{low} * 9.81 / (2 * pi()) * {t1} ** 2", f"{high} * 9.81 / (2 * pi()) * {t2} ** 2"
+    return f"round(CASE WHEN {t} <= {t1} THEN {low} * 9.81 / (2 * pi()) * {t} ** 2 WHEN {t} >= {t2} THEN {high} * 9.81 / (2 * pi()) * {t} ** 2 ELSE {h1} + ({t} - {t1}) * ({h2} - {h1}) / ({t2} - {t1}) END, 6)"
+
+
+@query(f"SELECT DISTINCT l_quantity AS q, {_steep_sql('(l_quantity / 2)', '(1 / 15)', 8, '(1 / 25)', 15)} AS by_tp, {_steep_sql('(l_quantity / 2)', '(1 / 10)', 6, '(1 / 15)', 12)} AS by_tz FROM lineitem")
+def steepness_limits(spark, d):
+    t = F.col("q") / 2
+    rows = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("q")).distinct()
+    return rows.select("q", F.round(corrections.steepness_limit(t), 6).alias("by_tp"), F.round(corrections.steepness_limit(t, "tz"), 6).alias("by_tz"))
+
+
+# waves below the surface
+
+
+@query()
+def wave_current(spark, d):
+    sea = _line(spark, d).select((F.col("l_quantity") / 5).alias("hs")).distinct().withColumn("tp", 4 + 2 * F.sqrt("hs")).withColumn("z", F.explode(F.array(*map(F.lit, (0.0, 10.0, 50.0)))))
+    return currents.with_wave_current(sea, "hs", "tp", 100.0, "z").withColumns({c: F.round(c, 6) for c in ("us", "tu")})
+
+
+@query()
+def wave_influence_depth(spark, d):
+    sea = _line(spark, d).select((F.col("l_quantity") / 5).alias("hs")).distinct().withColumn("tp", 4 + 2 * F.sqrt("hs"))
+    return currents.depth_of_influence(sea, ["hs", "tp"], "hs", "tp", 100.0)
+
+
+PARTS = f"""(SELECT vec_id, f, sum(CASE WHEN sea THEN e ELSE 0 END) AS sea, sum(CASE WHEN sea THEN 0 ELSE e END) AS swell FROM
+(SELECT *, 1.3 * (5 + label) * (0.05 + f * 0.02) * 2 * pi() / 9.81 * cos(radians(d * 45.0 - (vec_id * 137.5) % 360)) > 1 AS sea FROM {CELLS}) GROUP BY 1, 2)"""
+
+
+@query(f"""SELECT vec_id, {', '.join(f"round(4 * sqrt(sum({n}) * 0.015707963267948967), 5) AS hm0_{n}, round(0.05 + arg_max(f, ({n}, -f)) FILTER ({n} > 0) * 0.02, 6) AS fp_{n}" for n in ("sea", "swell"))} FROM {PARTS} GROUP BY 1""")
+def spectrum_partition(spark, d):
+    found = spectra.cells(_t(spark, d, "embeddings").withColumn("wind", F.col("label") + 5.0).withColumn("wind_dir", F.pmod(F.col("vec_id") * F.lit(137.5), F.lit(360.0))), ["vec_id", "wind", "wind_dir"], "embedding", 8)
+    return spectra.wind_sea_and_swell(found, ["vec_id"], "wind", "wind_dir", 8, 0.05, 0.02)
+
+
+# windows for several thresholds, months of every year, shear, water levels, thresholds
+
+
+@query(f"""WITH t AS (SELECT unnest([150.0, 200.0, 300.0])::DOUBLE AS threshold), c AS (SELECT threshold, ts, (x < threshold)::INT AS ok, row_number() OVER (PARTITION BY threshold ORDER BY ts) k FROM {HOURLY}, t),
+s AS (SELECT *, {', '.join(f"sum(ok) OVER (PARTITION BY threshold ORDER BY ts ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) = {n} AS s{n}" for n in (2, 3, 6))} FROM c),
+w AS ({' UNION ALL '.join(f"SELECT threshold, {n} AS d, (min(CASE WHEN s{n} THEN k END) OVER (PARTITION BY threshold ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - k + {n}) / 24.0 AS v FROM s" for n in (2, 3, 6))})
+SELECT threshold, d::INT AS duration_h, round(avg(v), 6) AS days FROM w GROUP BY 1, 2""")
+def weather_window_thresholds(spark, d):
+    return windows.threshold_table(_hourly(spark, d), "ts", "x", (150, 200, 300), (2, 3, 6), 1.0)
+
+
+@query("""WITH y AS (SELECT min(year(o_orderdate)) a, max(year(o_orderdate)) b FROM orders), s AS (SELECT unnest(range(a, b + 1))::INT AS year FROM y),
+m AS (SELECT unnest(range(1, 13))::INT AS month), g AS (SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, round(quantile_cont(o_totalprice, 0.25), 6) p25, round(avg(o_totalprice), 6) mean,
+round(quantile_cont(o_totalprice, 0.75), 6) p75, round(quantile_cont(o_totalprice, 0.99), 6) p99, round(max(o_totalprice), 6) AS max FROM orders GROUP BY 1, 2)
+SELECT s.year, m.month, p25, mean, p75, p99, g.max FROM s CROSS JOIN m LEFT JOIN g ON g.year = s.year AND g.month = m.month""")
+def monthly_every_year(spark, d):
+    return describe.monthly_every_year(_orders(spark, d), "o_orderdate", "o_totalprice")
+
+
+@query("""SELECT count(a) AS n, round(quantile_cont(a, 0.5), 6) AS median, round(quantile_cont(a, 0.25), 6) AS p25, round(quantile_cont(a, 0.75), 6) AS p75
+FROM (SELECT CASE WHEN l_quantity > 0 AND l_tax > 0 THEN ln(l_tax / l_quantity) / ln(10.0::DOUBLE) END AS a FROM lineitem)""")
+def wind_shear(spark, d):
+    return profile.shear(_line(spark, d), (10.0, "l_quantity"), (100.0, "l_tax"))
+
+
+@query("""WITH a AS (SELECT min(l_discount) d0, max(l_discount) d1, min(l_tax) t0, max(l_tax) t1, min(l_quantity) p0, avg(l_quantity) pm, max(l_quantity) p1 FROM lineitem)
+SELECT unnest(['total', 'tide', 'pressure surge']) AS component, unnest([round(d0, 6), round(t0, 6), round(-0.01 * (p1 - pm), 6)]) AS least, unnest([round(d1, 6), round(t1, 6), round(-0.01 * (p0 - pm), 6)]) AS greatest FROM a""")
+def water_level_extremes(spark, d):
+    return water.water_levels(_line(spark, d), {"total": "l_discount", "tide": "l_tax"}, "l_quantity")
+
+
+@query(f"""WITH u AS (SELECT unnest([200000.0, 250000.0, 300000.0])::DOUBLE AS threshold), x AS (SELECT * FROM {DAILY}), y AS (SELECT max(year(ts)) - min(year(ts)) + 1 AS years FROM x),
+g AS (SELECT threshold, x, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY threshold ORDER BY ts)) > 172800 THEN 1 ELSE 0 END AS gap FROM x, u WHERE x > threshold),
+c AS (SELECT *, sum(gap) OVER (PARTITION BY threshold ORDER BY ts) AS cluster FROM g), p AS (SELECT threshold, max(x) AS v FROM c GROUP BY threshold, cluster)
+SELECT threshold, 'EXP' AS distribution, count(*) AS n, CASE WHEN count(*) > 2 THEN round(min(v) - (avg(v) - min(v)) * ln(least(any_value(years) / (100.0 * count(*)), 1 - 1e-9)), 6) END AS value FROM p, y GROUP BY 1""")
+def threshold_sensitivity(spark, d):
+    return extremes.threshold_sensitivity(_daily(spark, d), "ts", "x", (200000, 250000, 300000), 100.0).withColumn("value", F.round("value", 6))
+
+
+@query()
+def threshold_sensitivity_fitted(spark, d):
+    return extremes.threshold_sensitivity(_daily(spark, d).withColumn("x", F.col("x") / 1e5), "ts", "x", (2, 2.5, 3), 100.0, ("EXP", "GP", "Weibull_2P"))
