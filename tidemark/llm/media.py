@@ -31,6 +31,8 @@ from tidemark.llm.common import HashFilter, map_arrow, pieces, stored
 
 WIDTH = 576  # samples in a row of the stored image
 CUT_BITS, LEAST, MOST = 11, 512, 8192
+#: The stored tables hold all payloads, so they are written small: a higher level, and pages that span many texts.
+SMALL = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 _GEAR = np.random.default_rng(1997).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -132,8 +134,8 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> MediaStor
 
     head = given.schema["id"]
     schema = f"id {head.dataType.simpleString()}, key binary, n_bytes long, shared boolean, digests array<binary>, chunks array<binary>"
-    kept = stored(given.transform(map_arrow, objects, schema), "media-objects")
-    single = stored(given.select("_text").transform(map_arrow, loose, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data")), "media-chunks")
+    kept = stored(given.transform(map_arrow, objects, schema), "media-objects", **SMALL)
+    single = stored(given.select("_text").transform(map_arrow, loose, "digest binary, data binary").groupBy("digest").agg(F.any_value("data").alias("data")), "media-chunks", **SMALL)
     return MediaStore(kept, single)
 
 
