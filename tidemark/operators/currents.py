@@ -28,26 +28,38 @@ def _frequencies(depth: float) -> Column:
     return F.array(*(F.struct(F.lit(f).alias("f"), F.lit(k).alias("k"), F.lit(w).alias("w")) for f, k, w in cells))
 
 
-def with_wave_current(df: DataFrame, hs: str, tp: str, depth: float, z: str) -> DataFrame:
-    """Adds us (significant velocity, 2 sqrt(m0)) and tu (its period, sqrt(m0 / m2)) at column z metres below the surface.
+def _with_spectrum(df: DataFrame, hs: str, tp: str, depth: float) -> DataFrame:
+    """Adds _s: frequency, wave number and weighted density of each step, which don't depend on the level."""
+    cell = lambda c: F.struct(c["f"].alias("f"), c["k"].alias("k"), (physics.jonswap(c["f"], F.col(hs), F.col(tp)) * c["w"]).alias("s"))
+    return df.withColumn("_s", F.transform(_frequencies(depth), cell))
 
-    Moments are trapezoids over the frequencies. A null or zero height or period, or a null z, gives us 0 and a null tu.
-    """
 
+def _with_velocity(df: DataFrame, depth: float, z: str) -> DataFrame:
     def cell(c: Column) -> Column:
         f, k = c["f"], c["k"]
         velocity = 2 * math.pi * f * F.exp(-k * F.col(z)) * (1 + F.exp(-2 * k * (depth - F.col(z)))) / (1 - F.exp(-2 * k * depth))
-        s = F.coalesce(physics.jonswap(f, F.col(hs), F.col(tp)) * velocity * velocity * c["w"], F.lit(0.0))
+        s = F.coalesce(c["s"] * velocity * velocity, F.lit(0.0))
         return F.struct(s.alias("m0"), (s * f * f).alias("m2"))
 
     zero = F.struct(F.lit(0.0).alias("m0"), F.lit(0.0).alias("m2"))
-    moments = F.aggregate(F.transform(_frequencies(depth), cell), zero, lambda a, b: F.struct((a["m0"] + b["m0"]).alias("m0"), (a["m2"] + b["m2"]).alias("m2")))
+    moments = F.aggregate(F.transform("_s", cell), zero, lambda a, b: F.struct((a["m0"] + b["m0"]).alias("m0"), (a["m2"] + b["m2"]).alias("m2")))
     out = df.withColumn("_m", moments)
-    return out.withColumns({"us": 2 * F.sqrt("_m.m0"), "tu": F.sqrt(F.try_divide("_m.m0", "_m.m2"))}).drop("_m")
+    return out.withColumns({"us": 2 * F.sqrt("_m.m0"), "tu": F.sqrt(F.try_divide("_m.m0", "_m.m2"))}).drop("_m", "_s")
+
+
+def with_wave_current(df: DataFrame, hs: str, tp: str, depth: float, z: str) -> DataFrame:
+    """Adds us (significant velocity, 2 sqrt(m0)) and tu (its period, sqrt(m0 / m2)) at column z metres below the surface.
+
+    Moments are trapezoids over the frequencies. A null or zero height or period, or a null z, gives us 0 and a null tu.
+    """
+    return _with_velocity(_with_spectrum(df, hs, tp, depth), depth, z)
 
 
 def depth_of_influence(df: DataFrame, key: list[str], hs: str, tp: str, depth: float, least: float = 0.01, step: float = 0.5) -> DataFrame:
-    """key, depth_m: the deepest multiple of `step` down to the bottom at which us exceeds `least`; null if none does."""
+    """key, depth_m: the deepest multiple of `step` down to the bottom at which us exceeds `least`; null if none does.
+
+    A row's spectrum is made once, before the row is spread over the levels.
+    """
     levels = F.transform(F.sequence(F.lit(0), F.lit(int(depth / step))), lambda i: i * F.lit(step))
-    cells = with_wave_current(df.select(*key, hs, tp).withColumn("z", F.explode(levels)), hs, tp, depth, "z")
-    return cells.groupBy(*key).agg(F.max(F.when(F.col("us") > least, F.col("z"))).alias("depth_m"))
+    cells = _with_spectrum(df.select(*key, F.col(hs).alias("_hs"), F.col(tp).alias("_tp")), "_hs", "_tp", depth).withColumn("_z", F.explode(levels))
+    return _with_velocity(cells, depth, "_z").groupBy(*key).agg(F.max(F.when(F.col("us") > least, F.col("_z"))).alias("depth_m"))
