@@ -77,6 +77,17 @@ def test_fingerprints(spark, awkward):
     assert fingerprint.compare_with_edited(awkward).count() == awkward.count()
 
 
+@pytest.mark.parametrize("rare", [20_000, 200_000])
+def test_fingerprints_of_many_distinct_words(rare):
+    found, sampler = [], fingerprint.Sampler(256, most=1000)
+    common = [int(0.1 * rare / (i + 1)) for i in range(200)]  # shared; each text has rare words of its own
+    for pair in range(2):
+        shared = " ".join(f"f{pair}x{i} " * n for i, n in enumerate(common))
+        a, b = (sampler.sign(shared + " ".join(f"{side}{pair}x{i}" for i in range(rare))) for side in "ab")
+        found.append(fingerprint.likeness(a, b))
+    assert abs(np.mean(found) - sum(common) / (sum(common) + 2 * rare)) < 0.06
+
+
 def test_base_spans_equal_the_patterns():
     email, ip, card, phone = map(re.compile, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
     digits = lambda s: re.sub("[^0-9]", "", s)

@@ -6,7 +6,8 @@ t = floor(ln S / r + b), ln y = r (t - b) and ln a = ln c - ln y - r; the term w
 the sample. Two documents agree at a position with probability equal to their generalised Jaccard similarity
 (sum of least over sum of greatest weights). Samples are kept as 16 bits, so unequal ones agree by chance once in 65,536.
 
-The three random numbers come from a pool of 65,536 triples, chosen by a hash of term and position.
+The random numbers are made from the bits of three hashes of term and position, so each pair of these has draws of its own:
+r and c are -ln of a product of two uniform numbers of 32 bits, b has 48 bits.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint of zeros, alike (1.0) to another
 such one and to nothing else (0.0). Equal texts have equal fingerprints. An empty table gives an empty result.
@@ -32,15 +33,18 @@ SAMPLES = 64
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 10_000
 _words = re.compile(r"\w+").findall
-_LOW = np.uint64(0xFFFF)
+_LOW, _S16, _S32 = np.uint64(0xFFFF), np.uint64(16), np.uint64(32)
+_R, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+AT_ONCE = 1024  # terms whose draws are made together
+
+
+def gamma(bits: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) numbers from 64 random bits each: -ln of the product of two uniform numbers."""
+    return -np.log(((bits >> _S32) + 0.5) * ((bits & np.uint64(0xFFFFFFFF)) + 0.5) * 2.0**-64)
 
 
 class Sampler:
-    def __init__(self, samples: int = SAMPLES, seed: int = 7, most: int = 200_000) -> None:
-        rng = np.random.default_rng(seed)
-        n = 1 << 16
-        self.r, self.ln_c, self.b = rng.gamma(2.0, 1.0, n), np.log(rng.gamma(2.0, 1.0, n)), rng.random(n)
-        self.once = self.ordered(self.ln_c + self.r * self.b - self.r)
+    def __init__(self, samples: int = SAMPLES, most: int = 200_000) -> None:
         self.salts = mix64(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.samples, self.most = samples, most
         self.place: dict[tuple[str, int], int] = {}
@@ -56,16 +60,21 @@ class Sampler:
         """A row a term: per position ln a in order-keeping bits, above 16 bits that stand for (term, t)."""
         h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in terms), np.uint64, len(terms))
         weights = np.fromiter((n for _, n in terms), np.float64, len(terms))
+        out = np.empty((len(terms), self.samples), np.uint64)
+        for i in range(0, len(terms), AT_ONCE):
+            self._draw(h[i : i + AT_ONCE], weights[i : i + AT_ONCE], out[i : i + AT_ONCE])
+        return out
+
+    def _draw(self, h: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
         m = mix64(h[:, None] ^ self.salts[None, :])
-        out = self.once[(m >> np.uint64(48)).view(np.int64)] | np.maximum(m & _LOW, np.uint64(1))  # weight 1: t is 0
+        r, b = gamma(mix64(m + _R)), (m >> _S16) * 2.0**-48
+        ln_a = np.log(gamma(mix64(m + _C))) + r * b - r  # weight 1: t is 0
+        code = m & _LOW
         if len(more := np.flatnonzero(weights > 1)):
-            m = m[more]
-            at = (m >> np.uint64(48)).view(np.int64)
-            r, b = self.r[at], self.b[at]
-            t = np.floor(np.log(weights[more])[:, None] / r + b)
-            code = np.where(t == 0, m, mix64(m + t.astype(np.int64).view(np.uint64))) & _LOW
-            out[more] = self.ordered(self.ln_c[at] - r * (t - b) - r) | np.maximum(code, np.uint64(1))
-        return out
+            t = np.floor(np.log(weights[more])[:, None] / r[more] + b[more])
+            ln_a[more] -= r[more] * t
+            code[more] = np.where(t == 0, m[more], mix64(m[more] + t.astype(np.int64).view(np.uint64))) & _LOW
+        out[:] = self.ordered(ln_a) | np.maximum(code, np.uint64(1))
 
     def sign(self, text: str) -> np.ndarray:
         """SAMPLES numbers of 16 bits."""
@@ -73,7 +82,7 @@ class Sampler:
         if not terms:
             return np.zeros(self.samples, np.uint16)
         if len(terms) > self.most // 2:  # beyond what is kept: in blocks
-            least = [self.rows(terms[i : i + 4096]).min(axis=0) for i in range(0, len(terms), 4096)]
+            least = [self.rows(terms[i : i + AT_ONCE]).min(axis=0) for i in range(0, len(terms), AT_ONCE)]
             return (np.min(least, axis=0) & _LOW).astype(np.uint16)
         place = self.place
         new = [t for t in terms if t not in place]
