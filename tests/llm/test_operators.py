@@ -171,6 +171,17 @@ def test_jaccard_join_is_exact(spark, leaf, block):
     assert all(found[hashlib.md5((t or "").encode()).digest()] == links[k] for k, t in rows)
 
 
+def test_candidates_reach_the_recall_at_full_depth(spark):
+    """Isolated pairs whose samples are equal with probability 0.8; leaf=1 splits every node that holds a pair to the last depth."""
+    rng, n = np.random.default_rng(11), 3000
+    left = rng.integers(0, 1 << 32, (n, jaccard_join.SKETCH), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(0, 1 << 32, left.shape, dtype=np.uint32))
+    rows = [(bytes([side]) + i.to_bytes(15, "big"), bytearray(m[i].tobytes())) for side, m in enumerate((left, right)) for i in range(n)]
+    found = spark.createDataFrame([(bytearray(k), s) for k, s in rows], "key binary, sketch binary")
+    edges = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in jaccard_join.candidate_edges(found, leaf=1).collect()}
+    assert all(len({k[1:] for k in e}) == 1 for e in edges) and len(edges) / n > 0.986  # 0.99 less two standard deviations
+
+
 def test_exact_links_between_blocks():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)

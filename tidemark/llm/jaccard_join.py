@@ -5,10 +5,11 @@ similarity of their sets is at least `threshold`. The join works on classes of e
 
 1. One pass makes each text's digest and a sketch: SKETCH min-wise samples of its set, which two sets share at a place
    with probability equal to their similarity. Equal texts become one class.
-2. Every class starts at the root of RUNS independent trees. At a node, sketch places are chosen at random, 1 / threshold of
+2. Every class starts at the roots of independent trees, each of which has one sketch place, different ones as long as there
+   are; a set goes to the child of its own sample there. At a deeper node, sketch places are chosen at random, 1 / threshold of
    them on average, and a set goes to the child of each chosen place and its own sample there. Nodes with one class end. Nodes with
    few are compared by sketches. Large ones are split again, MOST_DEPTH times at most; what then is still large is
-   compared in blocks. RUNS follows from the wanted recall and the chance of a pair to stay together so deep.
+   compared in blocks. The number of roots follows from the wanted recall and the chance of a pair to stay together so deep.
 3. Pairs alike by sketch (with a margin of four standard deviations) only give the edges of candidate groups. All pairs within
    a group are then compared exactly on whole sets, in blocks of classes, so a pair missed in every run is still found if
    other links connect it. Only sums per class and a spanning forest leave a block, never the pairs.
@@ -40,15 +41,35 @@ _ADDED = _rng.integers(0, 1 << 64, SKETCH, dtype=np.uint64)
 _hashes = WordHashes()
 
 
-def runs_for(recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met at some node of `depth` with probability `recall`.
+def recall_of(roots: int, threshold: float, depth: int) -> float:
+    """Chance that a pair at the threshold is alike by sketch and meets at some node of `depth`, with that many root places.
 
-    A node keeps a pair together in a Poisson(1) number of children (1 / threshold chosen, shared with probability threshold).
+    The pair shares k of SKETCH samples, k being binomial. A child of a root keeps it with chance q(depth - 1), where
+    q(0) = 1 and q(d) = 1 - (1 - chosen q(d - 1)) ** k; the roots' places are dealt in turn, so of the last, partial round it
+    shares a hypergeometric number.
     """
-    p = 1.0
-    for _ in range(depth):
-        p = 1.0 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+    rounds, rest = divmod(roots, SKETCH)
+    chosen, total = 1 / (threshold * SKETCH), 0.0
+    for k in range(max(0, least_alike(threshold)), SKETCH + 1):
+        q = 1.0
+        for _ in range(depth - 1):
+            q = 1 - (1 - chosen * q) ** k
+        missed = sum(math.comb(k, j) * math.comb(SKETCH - k, rest - j) * (1 - q) ** j for j in range(min(k, rest) + 1)) / math.comb(SKETCH, rest)
+        total += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k) * (1 - missed * (1 - q) ** (k * rounds))
+    return total
+
+
+def roots_for(recall: float, threshold: float, depth: int) -> int:
+    """Least number of root places that reaches `recall`."""
+    for roots in range(1, 64 * SKETCH):
+        if recall_of(roots, threshold, depth) >= recall:
+            return roots
+    raise ValueError(f"recall {recall} is out of a sketch's reach")
+
+
+def least_alike(threshold: float) -> int:
+    """Equal samples from which a pair counts as alike: four standard deviations below the threshold."""
+    return math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
 
 
 def ngram_set(text: str | None, n: int = NGRAM) -> np.ndarray:
@@ -181,19 +202,20 @@ def _dealt(rows: DataFrame, by: str, size: str, block: int, key: str = "key") ->
 
 def candidate_edges(found: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = MOST_DEPTH, leaf: int = LEAF) -> DataFrame:
     """a, b: edges that connect the classes which are alike by sketch and met in some tree. found: classes()."""
-    runs = runs_for(recall, depth)
-    least = math.floor(SKETCH * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)))
+    least = least_alike(threshold)
+    roots = roots_for(recall, threshold, depth)
+    places = np.arange(roots) % SKETCH  # samples at all places are alike, so any fixed order of them does
+    draws = mix64(np.arange(1, roots + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     sets = found.where(F.octet_length("sketch") > 0).select("key", "sketch")
-    roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 m = _matrix(part.column("sketch").to_pylist())
-                for root in roots:
-                    row, path = _children(np.full(len(m), root), m, threshold)
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(path.view(np.int64))], ["key", "path"])
+                for place, draw in zip(places.tolist(), draws):
+                    path = mix64(draw + m[:, place].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(path.view(np.int64))], ["key", "path"])
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
