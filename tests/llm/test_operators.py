@@ -110,6 +110,15 @@ def test_disclosing_terms_in_blocks(spark, awkward):
     assert pii.sanitise(awkward).count() == awkward.count() and pii.sanitise(awkward.limit(0)).count() == 0
 
 
+def test_terms_disclose_values_of_single_texts_and_kinds(spark):
+    rows = [(i, f"said Nam{i} about +1 (555) 123-{4000 + i} about") for i in range(5)] + [(50 + i, f"said dial about +1 (555) 123-{5000 + i}") for i in range(5)]
+    docs = spark.createDataFrame(rows + [(100 + i, f"said about nothing {i}") for i in range(2000)], "doc_id long, text string")
+    terms = {r["term"]: (r["n_near"], r["n_term"]) for r in pii.disclosing_terms(docs).collect()}
+    assert terms == {f"nam{i}": (1, 1) for i in range(5)} | {"dial": (5, 5)}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "said  about <phone> about" and clean[50] == "said  about <phone>" and clean[107] == "said about nothing 7"
+
+
 def test_repeated_runs_of_open_pages(spark):
     rng = random.Random(3)
     some = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))

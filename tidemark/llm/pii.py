@@ -3,14 +3,17 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. Terms within WINDOW words of an entity may
 disclose it: with n(c), n(t) and n(c, t) counted over the documents that hold entity c, term t anywhere, and t near c, the
 pointwise mutual information log2(N n(c,t) / (n(c) n(t))) over the entity's information log2(N / n(c)) is the share of the
-entity that the term reveals. A term which reveals at least DISCLOSURE of some entity, near it in SUPPORT different texts
-or more, is sanitised wherever it occurs: generalised to its kind where it is a number, else removed.
+entity that the term reveals. Each value is an entity, and each kind as a whole is one too. A term which reveals at least
+DISCLOSURE of some entity is sanitised wherever it occurs, if chance explains the pair with a probability of CHANCE at most:
+generalised to its kind where it is a number, else removed. With x = n(c) n(t) / N meetings expected in N documents, k
+different texts or more are that likely at most: exp(k - x - k ln(k / x)), the bound on a Poisson count. So a value in a single
+text gives away its rare neighbours as soon as the corpus is large enough to tell.
 
-Counts cover every document. Candidate terms and disclosing terms travel to the executors in blocks of at most BLOCK
-terms, each block with a pass of its own, so memory is bounded however many there are and none is left out.
+Counts cover every document and term, in one pass that holds about BLOCK terms a task. Disclosing terms travel to the
+executors in blocks of at most BLOCK terms; none is left out.
 
 Defined results: a null text counts as empty and has no spans; sanitising leaves a null text null. Repeated rows count as
-documents, but only different texts count for SUPPORT. An empty table gives an empty result.
+documents, but only different texts count for k. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tidemark.llm.common import map_arrow, pieces, stored
 
-WINDOW, DISCLOSURE, SUPPORT, BLOCK = 5, 0.8, 3, 200_000
+WINDOW, DISCLOSURE, CHANCE, BLOCK = 5, 0.8, 0.01, 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -109,51 +112,57 @@ def _blocks(terms: DataFrame, most: int) -> list[list[str]]:
     return [[r["term"] for r in (terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i) if parts > 1 else terms).toLocalIterator()] for i in range(parts)]
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT, block: int = BLOCK) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:
     """Terms that disclose an entity: term, n_near, n_term, share (the greatest over entities)."""
     given = docs.select(F.col(f"`{text}`").alias("_text"))
-    sc = docs.sparkSession.sparkContext
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row an entity and term of a document; one with an empty term for the entity alone."""
+        """A row an entity (a value or a kind) and term of a document; one with an empty term for the entity alone."""
         for batch in pieces(batches, "_text"):
             found: Counter = Counter()
             for t in batch.column("_text").to_pylist():
                 if t and (spans := base_spans(t)):
                     key = hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()
-                    found.update((e, w, key) for e, w in near_terms(t, spans, window) | {(entity(k, t[a:b]), "") for k, a, b in spans})
+                    kinds = {entity(k, t[a:b]): KINDS[k] for k, a, b in spans}
+                    both = near_terms(t, spans, window) | {(e, "") for e in kinds}
+                    found.update((e, w, key) for e, w in both | {(kinds[e], w) for e, w in both})
             cols = list(zip(*found)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(list(found.values()), pa.int64())], ["entity", "term", "key", "n"])
 
     pairs = given.transform(map_arrow, near, "entity string, term string, key binary, n long")
     pairs = pairs.groupBy("entity", "term", "key").agg(F.sum("n").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    pairs = stored(pairs.where((F.col("texts") >= support) | (F.col("term") == "")), "pii-pairs")
+    pairs = stored(pairs, "pii-pairs")
     near_counts = pairs.where("term <> ''")
-    candidates = near_counts.select("term").distinct()
-    counts = None
-    for terms in _blocks(candidates, block):
-        sent = sc.broadcast(frozenset(terms))
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            wanted, total = sent.value, Counter()
-            for batch in pieces(batches, "_text"):
-                for t in batch.column("_text").to_pylist():
-                    if t:
-                        total.update(wanted.intersection(_word.findall(t.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-
-        part = given.transform(map_arrow, count, "term string, n long")
-        counts = part if counts is None else counts.union(part)
-    if counts is None:
-        return near_counts.select("term", F.col("n").alias("n_near"), F.col("n").alias("n_term"), F.lit(0.0).alias("share"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every term with its number of documents, given out whenever `block` terms have gathered."""
+        total: Counter = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+        for batch in pieces(batches, "_text"):
+            for t in batch.column("_text").to_pylist():
+                if t:
+                    total.update(set(_word.findall(t.lower())))
+            if len(total) >= block:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    counts = given.transform(map_arrow, count, "term string, n long")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n_term"))
     total = math.log2(max(2, docs.count()))
-    entities = pairs.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    joined_ = near_counts.withColumnRenamed("n", "n_near").join(entities, "entity").join(counts, "term")
+    alone, kind = pairs.where("term = ''"), F.col("entity").isin(*KINDS)
+    n_kind = F.lit(None).cast("long")  # a kind has a part of all terms, too many for one task of a join
+    for r in alone.where(kind).collect():
+        n_kind = F.when(F.col("entity") == r["entity"], r["n"]).otherwise(n_kind)
+    entities = alone.where(~kind).select("entity", F.col("n").alias("n_entity"))
+    named = near_counts.withColumnRenamed("n", "n_near")
+    joined_ = named.where(~kind).join(entities, "entity").unionByName(named.where(kind).withColumn("n_entity", n_kind)).join(counts, "term")
     information = F.lit(total) - F.log2("n_entity")
     mutual = F.lit(total) + F.log2("n_near") - F.log2("n_entity") - F.log2(F.greatest("n_term", "n_near"))
+    expected = F.col("n_entity") * F.greatest("n_term", "n_near") / F.lit(2.0**total)
+    by_chance = F.when(F.col("texts") > expected, F.exp(F.col("texts") - expected - F.col("texts") * F.log(F.col("texts") / expected))).otherwise(F.lit(1.0))
     joined_ = joined_.withColumn("share", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-    return joined_.where(F.col("share") >= disclosure).groupBy("term").agg(F.max("n_near").alias("n_near"), F.max("n_term").alias("n_term"), F.max("share").alias("share"))
+    return joined_.where((F.col("share") >= disclosure) & (by_chance <= chance)).groupBy("term").agg(F.max("n_near").alias("n_near"), F.max("n_term").alias("n_term"), F.max("share").alias("share"))
 
 
 SPANS = ArrayType(StructType([StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
