@@ -134,6 +134,17 @@ def test_repeated_runs_of_open_pages(spark):
         assert {r["page_id"]: r["text"] for r in html_text.extract(pages, shard=shard).collect()} == want
 
 
+def test_section_menu_of_a_large_host(spark):
+    menu, rows, want = " ".join(f"m{k}" for k in range(12)), [], {}
+    for i in range(400):
+        own = " ".join(f"p{i}w{k}" for k in range(30))
+        rows.append((i, f"http://h.org/{i}", f"<div>{menu}</div><p>{own}</p>" if i % 20 == 0 else f"<p>{own}</p>"))  # on 5 % of the pages
+        want[i] = own
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (3000, 10**6):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages, shard=shard).collect()} == want
+
+
 def test_suffix_array_counts():
     rng = np.random.default_rng(1)
     streams = [rng.integers(1, 4, rng.integers(0, 40)).astype(np.uint64) for _ in range(12)]

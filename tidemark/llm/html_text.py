@@ -3,7 +3,7 @@
 A page is cut into blocks. Blocks inside article or main are content; those in menus, headers, footers, sidebars, notices,
 adverts, forms, comments and the like are not. In a page without article or main the other blocks are open. For these
 the token streams of a host's pages (all tokens outside content) are concatenated, and an array of their suffixes, ordered
-by their first RUN tokens, finds the substrings of RUN or more tokens that occur on several distinct pages. Open tokens
+by their first RUN tokens, finds the substrings of RUN or more tokens that occur on LEAST_PAGES distinct pages. Open tokens
 that such substrings cover are boilerplate; runs of other tokens stay.
 
 A host of any size is cut into shards of at most SHARD tokens; each has its own array, and the pages of equal
@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.llm.common import WordHashes, map_arrow, mix64, pieces, stored
 from tidemark.llm.url_filter import host_and_path
 
-RUN, LEAST_PAGES, LEAST_SHARE, SHARD = 8, 3, 0.1, 1_000_000
+RUN, LEAST_PAGES, SHARD = 8, 3, 1_000_000
 CONTENT, OTHER, OPEN = 0, 1, 2
 
 #: Element names, and words of class, id and role attributes, that mark what is not main text.
@@ -163,8 +163,8 @@ def repeated(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarra
     return h, np.add.reduceat(page.astype(np.int64), first)
 
 
-def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, shard: int = SHARD) -> DataFrame:
-    """host, gram: the substrings (as hashes) on at least least_pages distinct pages and a least_share of the host's."""
+def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, least_pages: int = LEAST_PAGES, shard: int = SHARD) -> DataFrame:
+    """host, gram: the substrings (as hashes) on at least least_pages distinct pages of the host, however many it has."""
     given = pages.select(host_and_path(F.col(f"`{url}`"))[0].alias("host"), F.col(f"`{html}`").alias("_text"))
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int
 
     rows = given.transform(map_arrow, streams, "host string, key binary, tokens binary, n long").where(F.col("n") >= run)
     rows = stored(rows.groupBy("host", "key").agg(F.any_value("tokens").alias("tokens"), F.max("n").alias("n")), "html-streams")
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.ceil(F.sum("n") / shard).alias("shards"))
+    hosts = rows.groupBy("host").agg(F.ceil(F.sum("n") / shard).alias("shards"))
     dealt = rows.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards"))).select("host", "shard", "tokens")
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
@@ -184,8 +184,7 @@ def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int
         return pa.table({"host": pa.array([key[0].as_py()] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n)})
 
     counts = dealt.groupBy("host", "shard").applyInArrow(index, "host string, gram long, n long").groupBy("host", "gram").agg(F.sum("n").alias("n"))
-    enough = (F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * least_share)
-    return counts.where(F.col("n") >= least_pages).join(hosts.select("host", "pages"), "host").where(enough).select("host", "gram")
+    return counts.where(F.col("n") >= least_pages).select("host", "gram")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, keep: list[str] | None = None, name: str = "text", **options) -> DataFrame:
