@@ -36,3 +36,10 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+def test_bootstrap_makes_the_replicates_of_the_reference(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(registry.extremes, "return_values", lambda *a, **options: given.append(options))
+    registry.QUERIES["return_values_bootstrap"](spark, SF)
+    assert given == [{"bootstrap": 1000}]

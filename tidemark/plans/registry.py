@@ -288,7 +288,7 @@ def monthly_return_values(spark, d):
 
 @query()
 def return_values_bootstrap(spark, d):
-    return extremes.return_values(extremes.annual_maxima(_daily(spark, d), "ts", "x").withColumn("value", F.col("value") / 1e5), "value", "GUM", (10, 100), bootstrap=100)
+    return extremes.return_values(extremes.annual_maxima(_daily(spark, d), "ts", "x").withColumn("value", F.col("value") / 1e5), "value", "GUM", (10, 100), bootstrap=1000)
 
 
 YEARLY = "(SELECT year(l_shipdate)::INT AS year, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1)"
