@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Multiplier and shifts of the 64-bit finaliser (splitmix64).
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -19,10 +22,12 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. A temporary one where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,7 +38,30 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote; for those that nothing still to be run reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(columns: Sequence[str], name: str) -> str:
+    """name, or name with underscores after it, that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_hash(text: Column) -> Column:
@@ -48,36 +76,76 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-#: What a worker process keeps between batches; emptied after every task, so stages that follow each other don't add up.
+#: What a worker process keeps between tasks of one stage; emptied when the next stage's function comes, so they don't add up.
 CACHES: list = []
-ROWS = 1000  # rows of an Arrow batch: texts are long, and both sides of the pipe hold whole batches
+ROWS, BYTES = 1000, 8 << 20  # of an Arrow batch: texts are long, and both sides of the pipe hold whole batches
+_owner: list[str] = [""]
 
 
 def _clear() -> None:
     for cache in CACHES:
         cache.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of at most ROWS rows, with the worker's caches emptied at the end of a task."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ROWS:
-        conf.set(name, str(ROWS))
+    """mapInArrow in batches of at most ROWS rows and about BYTES bytes.
+
+    The two limits are settings of the session; where they are higher there, they are lowered. A worker keeps its caches
+    for the tasks of one call.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
+        if not 0 < int(re.sub(r"\D+$", "", conf.get(name))) <= most:
+            conf.set(name, str(most))
+    owner = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _owner[0] != owner:
+            _clear()
+            give_back()
+            _owner[0] = owner
         try:
             yield from function(batches)
         finally:
-            _clear()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def map_text(docs: DataFrame, text: str, added: list[StructField], make: Callable[..., list[pa.Array]], keep: Sequence[str] | None = None, most_bytes: int = 4 << 20, also: Sequence[str] = ()) -> DataFrame:
+    """docs (or its columns in `keep`) with the columns `added`, which `make` computes from a piece of the column `text`.
+
+    make gets the columns `also` after the text; they are dropped, whether in `keep` or not. The text crosses to Python once, kept or not. Columns travel by position, so none of theirs can clash with one of docs;
+    an added one replaces a column of the same name, in any case.
+    """
+    names = {f.name.lower() for f in added}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names and c not in also]
+    sent = [*(kept if text in kept else [*kept, text]), *also]
+    given = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(sent)))
+    fields = [*given.schema.fields[: len(kept)], *(StructField(f"a{i}", f.dataType) for i, f in enumerate(added))]
+    at, out = sent.index(text), [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, f"c{at}", most_bytes):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *make(batch.column(at), *batch.columns[len(sent) - len(also) :])], out)
+
+    done = given.transform(map_arrow, run, StructType(fields))
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"a{i}").alias(f.name) for i, f in enumerate(added)))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash; emptied when it holds `most` words, so its memory is bounded."""
 
-    def __init__(self, most: int = 200_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
         CACHES.append(self)
@@ -106,6 +174,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a text or bytes column, and of a list column of numbers."""
+    if pa.types.is_list(column.type):
+        return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64) * 8
     return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
