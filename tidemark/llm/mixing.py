@@ -2,16 +2,18 @@
 
 Within a source the documents stand in a fixed order; every document is expected rate = target / source size times. The
 running sum of these expectations plus one offset, drawn once from the seed, gives a document one copy for each integer
-that it passes. Documents are ordered by size class (steps of 1/16 of a power of two), then by digest of their id, so
-that the copies spread evenly over the sizes and a source's words come within about one long document of its target.
-
-The running sum needs no task that sees a whole source: rows are counted by (source, size class, two hex digits of the
-digest), at most 256 * 500 counts a source however long the tables are, these counts are summed up in order, and rows
-are numbered only within such a bucket.
-
-Defined results: a null text has size 0 and so has one without words; a null source is a source of its own and sorts
-last; a source of size 0 has target 0 and no copies; repeated rows are separate documents; an empty table gives an empty
-one. Columns of the input are kept; the added ones replace columns of the same name.
+that it passes. Documents are ordered by size class (steps of 1/16 of a power of two), then by digests of their id and text,
+so that the copies spread evenly over the sizes and a source's words come within about one long document of its target.
+
+The running sum needs no task that sees a whole source: rows are counted by (source, size class, a hex digit of the digest
+of the id and one of that of the text), at most 256 * 500 counts a source however long the tables are, these counts are summed
+up in order, and rows are numbered only within such a bucket. So an id that many rows share is split by their texts; rows
+equal in both are numbered together by size class. The targets take one row a source in one task.
+
+Defined results: a null text has size 0 and so has one without words; texts may be of any length; a null source is a source
+of its own and sorts last; a source of size 0 has target 0 and no copies; repeated rows are separate documents, and of rows
+equal in id and text any may get a copy; an empty table gives an empty one. Columns of the input are kept, whatever their
+names; those added by mix() replace columns of the same name, mixed() adds none.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import quoted
+
 SEED = 20240607
 
 
@@ -64,32 +68,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return df.select("source", "source_size", "target", rate.otherwise(F.col("target") / F.col("source_size")).alias("rate"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (copies * size)."""
-    added = {"size", "source_size", "target", "copies", "taken"}
-    kept = [c for c in docs.columns if c.lower() not in added]
-    size = words(F.col(f"`{text}`"))
-    narrow = docs.select(F.col(f"`{source}`").alias("source"), size.alias("size"))
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
+def _copies(docs: DataFrame, text: str, source: str, key: str, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
+    """row (all columns of docs) and ADDED."""
+    size = words(quoted(text))
+    narrow = docs.select(quoted(source).alias("source"), size.alias("size"))
     totals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), size.alias("size"), digest.alias("_digest"), F.xxhash64(F.col(f"`{text}`")).alias("_tie"))
-    rows = rows.withColumn("_class", size_class(F.col("size"))).withColumn("_place", F.substring("_digest", 1, 2)).withColumn("_source", F.struct(F.col(f"`{source}`").alias("source")))
-    bucket = ["_source", "_class", "_place"]
-    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-    starts = Window.partitionBy("_source").orderBy("_class", "_place").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(starts), F.lit(0))).drop("_n")
-    counts = counts.join(totals.select(F.struct("source").alias("_source"), "source_size", "target", "rate"), "_source")
-    within = Window.partitionBy(*bucket).orderBy("_digest", "size", "_tie")
-    rows = rows.withColumn("_rank", F.row_number().over(within)).join(counts, bucket)
+    digest, other = F.md5(F.coalesce(quoted(key).cast("string"), F.lit(""))), F.md5(F.coalesce(quoted(text), F.lit("")))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.struct(quoted(source).alias("source")).alias("of"), size.alias("size"), digest.alias("digest"), other.alias("other"))
+    rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("place", F.concat(F.substring("digest", 1, 1), F.substring("other", 1, 1)))
+    bucket = ["of", "class", "place"]
+    counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
+    starts = Window.partitionBy("of").orderBy("class", "place").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(starts), F.lit(0))).drop("n")
+    counts = counts.join(totals.select(F.struct("source").alias("of"), "source_size", "target", "rate"), "of")
+    within = Window.partitionBy(*bucket).orderBy("digest", "size", "other")
+    rows = rows.withColumn("rank", F.row_number().over(within)).join(counts, bucket)
     passed = lambda n: F.floor(n * F.col("rate") + F.lit(offset(seed)))
-    rank = (F.col("_start") + F.col("_rank")).cast("double")
-    rows = rows.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select(*(F.col(f"`{c}`") for c in kept), "size", "source_size", "target", "copies", "taken")
+    rank = (F.col("start") + F.col("rank")).cast("double")
+    return rows.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", *ADDED)
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target, copies and taken (copies * size)."""
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return _copies(docs, text, source, key, weights, most, seed).select(*kept, *ADDED)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
     """The mixture itself: docs' rows, each as often as it has copies."""
-    return mix(docs, **options).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = _copies(docs, text, source, key, weights, most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +124,7 @@ shared AS (
 rated AS (
   SELECT sized.*, source_size, target, CASE WHEN source_size <= 0 THEN 0 WHEN target >= cap THEN 3.0 ELSE target / source_size END::DOUBLE AS rate,
          row_number() OVER (PARTITION BY sized.source ORDER BY CASE WHEN size < 16 THEN size ELSE floor(log2(size::DOUBLE) * 16) END,
-                            md5(coalesce(doc_id::VARCHAR, '')), size, md5(text))::DOUBLE AS k
+                            md5(coalesce(doc_id::VARCHAR, ''))[1] || md5(coalesce(text, ''))[1], md5(coalesce(doc_id::VARCHAR, '')), size, md5(coalesce(text, '')))::DOUBLE AS k
   FROM sized JOIN shared ON sized.source IS NOT DISTINCT FROM shared.source),
 copied AS (
   SELECT *, (floor(k * rate + {offset()!r}) - floor((k - 1) * rate + {offset()!r}))::BIGINT AS copies FROM rated)
