@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import CACHES, map_arrow, mix64, pieces, text_hash
+from tidemark.llm.common import CACHES, map_arrow, map_text, mix64, pieces, quoted, text_hash
 
 SAMPLES = 64
 BUCKET_BYTES = 8 << 20
@@ -119,16 +119,8 @@ def _sampler() -> Sampler:
 
 def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """docs with their fingerprint as hexadecimal text; a column of that name is replaced."""
-    kept = [c for c in docs.columns if c.lower() != name.lower()]
-    given = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            rest = batch.drop_columns(["_text"])
-            found = [text_of(_sampler().sign(t or "")) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found, pa.string())], [*rest.schema.names, name])
-
-    return given.transform(map_arrow, run, StructType([*given.drop("_text").schema.fields, StructField(name, StringType())]))
+    make = lambda texts: [pa.array([text_of(_sampler().sign(t or "")) for t in texts.to_pylist()], pa.string())]
+    return map_text(docs, text, [StructField(name, StringType())], make)
 
 
 def edited(text: str, following: str) -> str:

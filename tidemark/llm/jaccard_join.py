@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HashFilter, WordHashes, map_arrow, mix64, pieces, stored, text_hash
+from tidemark.llm.common import HashFilter, WordHashes, drop_stored, free_name, map_arrow, mix64, pieces, quoted, stored, text_hash
 from tidemark.llm.components import components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -111,7 +111,7 @@ def classes(docs: DataFrame, text: str = "text", ngram: int = NGRAM) -> DataFram
             found = [sketch(ngram_set(t, ngram)).tobytes() for t in counts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(counts.values()), pa.int64()), pa.array(found, pa.binary())], ["key", "copies", "sketch"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("_text")).transform(map_arrow, run, "key binary, copies long, sketch binary")
+    rows = docs.select(quoted(text).alias("_text")).transform(map_arrow, run, "key binary, copies long, sketch binary")
     return stored(rows.groupBy("key").agg(F.sum("copies").alias("copies"), F.any_value("sketch").alias("sketch")), "join-classes")
 
 
@@ -269,7 +269,7 @@ def jaccard_links(docs: DataFrame, text: str = "text", threshold: float = THRESH
             grams = [ngram_set(texts[i], ngram).tobytes() for i in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in wanted], pa.binary()), pa.array(grams, pa.binary())], ["key", "grams"])
 
-    whole = docs.select(F.col(f"`{text}`").alias("_text")).transform(map_arrow, sets, "key binary, grams binary").groupBy("key").agg(F.any_value("grams").alias("grams"))
+    whole = docs.select(quoted(text).alias("_text")).transform(map_arrow, sets, "key binary, grams binary").groupBy("key").agg(F.any_value("grams").alias("grams"))
     members = groups.join(sizes, "component").withColumn("group", F.xxhash64("component"))
     dealt = _dealt(members.join(whole, "key").select("group", "size", "key", "copies", "grams"), "group", "size", block)
 
@@ -351,21 +351,24 @@ def exact_links(sets: list[np.ndarray], copies: np.ndarray, threshold: float, ro
 
 
 def with_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs' keys with class_id (least key of the class) and n_links."""
+    """docs' keys with class_id (least key of the class; null if all are null) and n_links."""
     found = stored(jaccard_links(docs, text, **options), "join-found")
-    rows = docs.select(F.col(f"`{key}`"), text_hash(F.col(f"`{text}`")).alias("key")).join(found.select("key", "class_key", "n_links"), "key")
-    ids = rows.groupBy("class_key").agg(F.min(f"`{key}`").alias("class_id"))
-    return rows.join(ids, "class_key").select(F.col(f"`{key}`"), "class_id", "n_links")
+    rows = docs.select(quoted(key).alias("id"), text_hash(quoted(text)).alias("key")).join(found.select("key", "class_key", "n_links"), "key")
+    ids = rows.groupBy("class_key").agg(F.min("id").alias("class_id"))
+    return rows.join(ids, "class_key").select(F.col("id").alias(key), "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay if each class keeps one: the row with its least (key, digest of the text)."""
+    """docs with one row of each class: that with the least (key, digest of the text), null keys last. Rows equal in both
+    count as one, whatever else they hold."""
     found = stored(jaccard_links(docs, text, **options).select("key", "class_key"), "join-found")
-    rows = docs.select(F.col(f"`{key}`").alias("_id"), text_hash(F.col(f"`{text}`")).alias("key")).join(found, "key")
-    kept = rows.groupBy("class_key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("key"))).alias("k")).select(F.col("k._id").alias("_id"), F.col("k.key").alias("_key"))
-    out = docs.withColumn("_key", text_hash(F.col(f"`{text}`")))
-    same = (out["_key"] == kept["_key"]) & out[key].eqNullSafe(kept["_id"])
-    return out.join(kept, same, "left_semi").dropDuplicates(["_key", key]).drop("_key")
+    rows = docs.select(quoted(key).alias("id"), text_hash(quoted(text)).alias("key")).join(found, "key")
+    kept = rows.groupBy("class_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k"))
+    digest = free_name(docs.columns, "digest")
+    kept = kept.select(F.col("k.id").alias("_kept_id"), F.col("k.key").alias("_kept_key"))
+    out = docs.withColumn(digest, text_hash(quoted(text))).alias("d")
+    same = (F.col(f"d.{digest}") == F.col("k._kept_key")) & F.col("d.`" + key.replace("`", "``") + "`").eqNullSafe(F.col("k._kept_id"))
+    return out.join(kept.alias("k"), same, "left_semi").dropDuplicates([digest, key]).drop(digest)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ language's profile; a missing one counts as far as the profile is long. The leas
 Three letters of 21 bits fit one 64-bit number, so n-grams are counted exactly by sorting numbers, without hashing.
 
 Defined results: a null or letterless text is ``und`` with score 0, as is any text where nothing was learned; rows with
-null text or language are not learned from; repeated rows count as often as they occur in training. An empty table gives
-an empty result. Columns of the input are kept; the added ones replace columns of the same name.
+null text or language are not learned from; repeated rows count as often as they occur in training and are judged alike.
+Equally frequent n-grams rank by their code points, equally near languages by name. Texts may be of any length. An empty
+table gives an empty result. Columns of the input are kept, whatever their names; the added ones replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import map_arrow, pieces
+from tidemark.llm.common import map_arrow, map_text, pieces, quoted
 
 PROFILE = 400  # n-grams of a language's profile
 MOST_N = 3
@@ -94,7 +95,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """Language profiles from every row of docs. Only `size` numbers a language reach the driver."""
-    given = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
+    given = docs.select(quoted(text).alias("text"), quoted(lang).alias("lang")).where("text is not null and lang is not null")
     counts = given.transform(map_arrow, _count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
@@ -132,20 +133,15 @@ class Classifier:
 
 def detect(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns in `keep`) with lang_pred and score."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score", "_text")]
-    given = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text"))
-    schema = StructType([*given.drop("_text").schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     model: list[Classifier] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: pa.Array) -> list[pa.Array]:
         if not model:
             model.append(Classifier(profiles, size))
-        for batch in pieces(batches, "_text", 8 << 20):
-            found = [model[0].predict(t) for t in batch.column("_text").to_pylist()]
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], [*rest.schema.names, "lang_pred", "score"])
+        found = [model[0].predict(t) for t in texts.to_pylist()]
+        return [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
 
-    return given.transform(map_arrow, run, schema)
+    return map_text(docs, text, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make, keep, 8 << 20)
 
 
 def held_out(key: Column, parts: int, rest: int) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import HashFilter, map_arrow, pieces, stored
+from tidemark.llm.common import HashFilter, map_arrow, pieces, quoted, stored
 
 WIDTH = 576  # samples in a row of the stored image
 CUT_BITS, LEAST, MOST = 11, 512, 8192
@@ -99,7 +99,7 @@ class MediaStore:
 
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> MediaStore:
     """Writes docs' texts as media; both tables lie in the shared folder."""
-    given = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("_text"))
+    given = docs.select(quoted(key).alias("id"), quoted(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", 16 << 20):

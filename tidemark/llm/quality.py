@@ -6,12 +6,14 @@ the logistic probability of the difference of their strengths. Weights are learn
 quantile of the training strengths at the share of rejected documents that gives the fewest training errors; scores are the
 logistic of strength minus threshold, moved so that the threshold scores `cut`.
 
-Learning uses a sample of at most MOST_ROWS labelled rows (the least by a hash of their id), with whole texts; each takes
-part in about PAIRS pairs. Scoring covers every row in one pass without a shuffle.
+Learning uses a sample of at most MOST_ROWS labelled rows (the least by a hash of their id, then of their text), with whole
+texts; each takes part in about PAIRS pairs. Scoring covers every row in one pass without a shuffle.
 
 Defined results: a null text counts as empty; empty texts and texts without words have their own feature and get a score;
-where no pair can be formed every score is `cut`. Repeated rows are scored alike; repeated labels count as often. An
-empty table gives an empty result. Columns of the input are kept; the added ones replace columns of the same name.
+texts may be of any length. Labels other than 0 and 1, and those of a null id, teach nothing; where no pair can be formed every
+score is `cut`. Repeated rows are scored alike; repeated labels and ids count as often, within the bound. Equal strengths have
+equal scores. An empty table gives an empty result. Columns of the input are kept, whatever their names; only one named as
+the added score (`name`) is replaced.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tidemark.llm.common import CACHES, map_arrow, pieces
+from tidemark.llm.common import CACHES, map_arrow, map_text, pieces, quoted
 from tidemark.llm.language import held_out
 
 MOST_ROWS = 20_000
@@ -145,37 +147,33 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text"):
-        x = [features(t) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+    for batch in pieces(batches, "text"):
+        x = [features(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.select(["at", "tie", "label"]).columns, pa.array(x, pa.list_(pa.float64()))], ["at", "tie", "label", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most_rows: int = MOST_ROWS, cut: float = CUT) -> Model:
-    """labels: key and label (0 or 1). The sample has at most most_rows rows, so it may be broadcast and collected."""
-    usable = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
-    sample = usable.orderBy(F.xxhash64("_key"), "_key", "_label").limit(most_rows)
-    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text")).join(F.broadcast(sample), "_key").select("_text", "_label")
-    schema = StructType([StructField("label", IntegerType()), StructField("x", ArrayType(DoubleType()))])
-    got = rows.transform(map_arrow, _feature_batches, schema).toArrow()
+    """labels: key and label (0 or 1). At most most_rows labels are broadcast, and as many rows collected."""
+    usable = labels.select(quoted(key).alias("key"), quoted(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
+    sample = usable.withColumn("at", F.xxhash64("key")).orderBy("at", "key", "label").limit(most_rows)
+    rows = docs.select(quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
+    rows = rows.select("at", F.xxhash64("text").alias("tie"), "label", "text")
+    schema = StructType([StructField("at", LongType()), StructField("tie", LongType()), StructField("label", IntegerType()), StructField("x", ArrayType(DoubleType()))])
+    got = rows.transform(map_arrow, _feature_batches, schema).orderBy("at", "tie", "label").limit(most_rows).toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = np.asarray(got["label"]).astype(np.int64)
     order = np.lexsort((*x.T, y)) if len(y) else slice(None)  # the order in which rows arrive must not matter
     return fit_pairs(x[order], y[order], cut=cut)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns in `keep`) with quality_score."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("quality_score", "_text")]
-    given = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text"))
-    schema = StructType([*given.drop("_text").schema.fields, StructField("quality_score", DoubleType())])
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "quality_score") -> DataFrame:
+    """docs (or its columns in `keep`) with a column `name`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            x = np.array([features(t) for t in batch.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(model.score(x))], [*rest.schema.names, "quality_score"])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        x = np.array([features(t) for t in texts.to_pylist()]).reshape(-1, len(FEATURES))
+        return [pa.array(model.score(x))]
 
-    return given.transform(map_arrow, run, schema)
+    return map_text(docs, text, [StructField(name, DoubleType())], make, keep)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
