@@ -1,18 +1,22 @@
-"""Main text of web pages: page structure first, a suffix array over each host's pages for what structure leaves open.
+"""Main text of web pages: a suffix array over each site's pages finds what repeats, page structure guards the rest.
 
-A page is cut into blocks. Blocks inside article or main are content; those in menus, headers, footers, sidebars, notices,
-adverts, forms, comments and the like are not. In a page without article or main the other blocks are open. For these
-the token streams of a host's pages (all tokens outside content) are concatenated, and an array of their suffixes, ordered
-by their first RUN tokens, finds the substrings of RUN or more tokens that occur on LEAST_PAGES distinct pages. Open tokens
-that such substrings cover are boilerplate; runs of other tokens stay.
+A page is cut into blocks. Blocks inside article or main are content and never cut. The token streams of a site's pages
+(a mark with the element's name for each block outside content, then its words) are concatenated, and an array of their
+suffixes, ordered by their first RUN tokens, finds the substrings of RUN or more tokens that occur on LEAST_PAGES distinct
+pages. Tokens that such substrings cover are boilerplate; a block that is covered by half or more goes as a whole, of others
+the runs of unique tokens stay. What no repetition shows to be boilerplate is dropped all the same where structure tells
+it: menus, headers, footers, sidebars, notices, adverts, forms, comments and the like by element name or class, and all that
+stands outside the article of a page that has one (`structure`; both only matter for blocks that repeat too rarely).
 
-A host of any size is cut into shards of at most SHARD tokens; each has its own array, and the pages of equal
-substrings are then summed up over shards, which gives the counts of the whole host. Equal streams of a host count as one
-page, so exact copies of a page are not taken for boilerplate.
+A site is a host without its subdomains: the last two labels, three below a country's second level. One of any size is cut
+into shards of at most SHARD tokens; each has its own array, and the pages of equal substrings are then summed up over
+shards, which gives the counts of the whole site. Pages that are equal in all their text count as one, so copies of a page are
+not taken for boilerplate. Pages are parsed once, into a stored table of their blocks.
 
 Defined results: null or empty html gives an empty text; so does a page without visible content. A null URL belongs to the
-host ''. Unclosed and misnested tags are closed by the next end tag that fits; a tag that never ends is dropped.
-Repeated rows get equal texts. An empty table gives an empty result. Columns of the input are kept but for ``_`` names.
+site ''. Unclosed and misnested tags are closed by the next end tag that fits; a tag that never ends is dropped. Pages may
+be of any length. Repeated rows get equal texts. An empty table gives an empty result. Columns of the input are kept, whatever
+their names; one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.llm.common import WordHashes, map_arrow, mix64, pieces, stored
+from tidemark.llm.common import WordHashes, map_arrow, map_text, mix64, pieces, quoted, stored
 from tidemark.llm.url_filter import host_and_path
 
 RUN, LEAST_PAGES, SHARD = 8, 3, 1_000_000
 CONTENT, OTHER, OPEN = 0, 1, 2
 
-#: Element names, and words of class, id and role attributes, that mark what is not main text.
-_OUT = frozenset("head title nav header footer aside form script style noscript template iframe svg math canvas object button select textarea menu dialog audio video".split())
+#: Elements that show no text of the page; element names, and words of class, id and role attributes, that mark what is
+#: not main text.
+_UNSEEN = frozenset("head title script style noscript template iframe svg math canvas object audio video".split())
+_OUT = frozenset("nav header footer aside form button select textarea menu dialog".split())
 _OUT_WORDS = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo related reply replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +54,11 @@ _part = re.compile(r"[a-z0-9]+").findall
 _ends = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
 
 
-def _is_out(name: str, attributes: str) -> bool:
+def _is_out(name: str, attributes: str, structure: bool) -> bool:
+    if name in _UNSEEN:
+        return True
+    if not structure:
+        return bool(attributes and _hidden.search(attributes))
     if name in _OUT:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
@@ -56,9 +66,9 @@ def _is_out(name: str, attributes: str) -> bool:
     return any(_OUT_WORDS.intersection(_part("".join(m).lower())) for m in _marks.findall(attributes)) or bool(_hidden.search(attributes))
 
 
-def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(zone, text) of the blocks with text, in page order."""
-    found: list[tuple[int, str]] = []
+def blocks(page: str | None, structure: bool = True) -> list[tuple[int, str, str]]:
+    """(zone, element, text) of the blocks with text, in page order. Without structure only article and main tell zones."""
+    found: list[tuple[int, str, str]] = []
     stack: list[tuple[str, int]] = []
     zone, text, at, content = OPEN, [], 0, False
     page = page or ""
@@ -66,7 +76,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     def close() -> None:
         if text:
             if words := entities.unescape("".join(text)).split():
-                found.append((zone, " ".join(words)))
+                found.append((zone, stack[-1][0] if stack else "", " ".join(words)))
             text.clear()
 
     while (m := _tag.search(page, at)) is not None:
@@ -91,7 +101,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if m[3].endswith("/") and name in ("svg", "path", "g"):
                 continue
             new = zone
-            if zone != OTHER and _is_out(name, m[3]):
+            if zone != OTHER and _is_out(name, m[3], structure):
                 new = OTHER
             elif zone == OPEN and name in ("article", "main"):
                 new, content = CONTENT, True
@@ -106,7 +116,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     text.append(page[at:])
     close()
     # with an article, what stands outside it is no main text
-    return [(OTHER if content and z == OPEN else z, t) for z, t in found]
+    return [(OTHER if structure and content and z == OPEN else z, e, t) for z, e, t in found]
 
 
 _hashes = WordHashes()
@@ -124,8 +134,14 @@ def run_hashes(tokens: np.ndarray, run: int) -> np.ndarray:
     return h
 
 
-def _stream(found: list[tuple[int, str]]) -> np.ndarray:
-    return _hashes.of([w for z, t in found if z != CONTENT for w in t.split(" ")])
+def stream(found: list[tuple[int, str, str]]) -> np.ndarray:
+    """Tokens outside content: for each block its words between two marks."""
+    return _hashes.of([w for z, e, t in found if z != CONTENT for w in (f"\x00{e}", *t.split(" "), f"\x00/{e}")])
+
+
+def site_of(host: Column) -> Column:
+    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
+    return F.when(two.rlike(r"^[a-z]{2,3}\.[a-z]{2}$"), three).otherwise(two)
 
 
 def repeated(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,82 +179,87 @@ def repeated(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarra
     return h, np.add.reduceat(page.astype(np.int64), first)
 
 
-def boilerplate(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, least_pages: int = LEAST_PAGES, shard: int = SHARD) -> DataFrame:
-    """host, gram: the substrings (as hashes) on at least least_pages distinct pages of the host, however many it has."""
-    given = pages.select(host_and_path(F.col(f"`{url}`"))[0].alias("host"), F.col(f"`{html}`").alias("_text"))
+def parsed(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None, name: str = "text", structure: bool = True) -> DataFrame:
+    """A stored row a page: site, page (digest of its text), key (of its stream), tokens (of the stream), n (of them), row (the
+    columns kept), text (of its content) and lines (all blocks, zone first; null if none is open)."""
+    kept = [c for c in (pages.columns if keep is None else keep) if c.lower() != name.lower()]
+    given = pages.select(site_of(host_and_path(quoted(url))[0]).alias("site"), quoted(html).alias("html"), F.struct(F.lit(0).alias("c"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(kept))).alias("row"))
+    fields = StructType.fromDDL("page binary, key binary, tokens binary, n long, text string, lines array<string>").fields
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        rows = []
+        for t in texts.to_pylist():
+            found = blocks(t, structure)
+            tokens = stream(found).tobytes()
+            page = hashlib.md5("\n".join(x for _, _, x in found).encode("utf-8", "surrogatepass")).digest()
+            opened = any(z == OPEN for z, _, _ in found)
+            rows.append((page, hashlib.md5(tokens).digest(), tokens, len(tokens) // 8, "\n".join(x for z, _, x in found if z == CONTENT), [f"{z}{x}" for z, _, x in found] if opened else None))
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.string()))
+        return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+    return stored(map_text(given, "html", fields, make, ["site", "row"]), "html-blocks")
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            found = [_stream(blocks(t)) for t in batch.column("_text").to_pylist()]
-            raw = [s.tobytes() for s in found]
-            columns = [batch.column("host"), pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()), pa.array(list(map(len, found)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "key", "tokens", "n"])
 
-    rows = given.transform(map_arrow, streams, "host string, key binary, tokens binary, n long").where(F.col("n") >= run)
-    rows = stored(rows.groupBy("host", "key").agg(F.any_value("tokens").alias("tokens"), F.max("n").alias("n")), "html-streams")
-    hosts = rows.groupBy("host").agg(F.ceil(F.sum("n") / shard).alias("shards"))
-    dealt = rows.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards"))).select("host", "shard", "tokens")
+def boilerplate(found: DataFrame, run: int = RUN, least_pages: int = LEAST_PAGES, shard: int = SHARD) -> DataFrame:
+    """site, gram: the substrings (as hashes) on at least least_pages distinct pages of the site, however many it has. found: parsed()."""
+    rows = found.where(F.col("n") >= run).groupBy("site", "page").agg(F.max(F.struct("key", "tokens", "n")).alias("s")).select("site", "page", "s.tokens", "s.n")
+    sites = stored(found.groupBy("site").agg(F.ceil(F.sum("n") / shard).alias("shards")), "html-sites")  # stored, so that a join may split a large site
+    dealt = rows.join(sites, "site").withColumn("shard", F.pmod(F.xxhash64("page"), F.col("shards"))).select("site", "shard", "tokens")
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
         grams, n = repeated([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()], run)
-        return pa.table({"host": pa.array([key[0].as_py()] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n)})
+        return pa.table({"site": pa.array([key[0].as_py()] * len(grams), pa.string()), "gram": pa.array(grams.view(np.int64)), "n": pa.array(n)})
 
-    counts = dealt.groupBy("host", "shard").applyInArrow(index, "host string, gram long, n long").groupBy("host", "gram").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= least_pages).select("host", "gram")
+    counts = dealt.groupBy("site", "shard").applyInArrow(index, "site string, gram long, n long").groupBy("site", "gram").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least_pages).select("site", "gram")
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, keep: list[str] | None = None, name: str = "text", **options) -> DataFrame:
+def covered(found: DataFrame, grams: DataFrame, run: int = RUN) -> DataFrame:
+    """site, key, places: where runs of boilerplate() begin in each distinct stream that has any. found: rows of parsed()."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "tokens", 1 << 20):
+            own = [run_hashes(np.frombuffer(t, np.uint64), run) for t in batch.column("tokens").to_pylist()]
+            at = np.repeat(np.arange(len(own)), [len(h) for h in own])
+            place = np.concatenate([np.arange(len(h)) for h in own]) if own else np.empty(0, np.int64)
+            every = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("site").take(pa.array(at)), batch.column("key").take(pa.array(at)), pa.array(place.astype(np.int32)), pa.array(every)], ["site", "key", "place", "gram"])
+
+    streams = found.groupBy("site", "key").agg(F.max("tokens").alias("tokens"))
+    rows = streams.transform(map_arrow, places, "site string, key binary, place int, gram long")
+    return rows.join(grams, ["site", "gram"]).groupBy("site", "key").agg(F.collect_set("place").alias("places"))
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", run: int = RUN, least_pages: int = LEAST_PAGES, shard: int = SHARD, keep: list[str] | None = None, name: str = "text", structure: bool = True) -> DataFrame:
     """pages (or its columns in `keep`) with their main text in a column `name`."""
-    found = stored(boilerplate(pages, url, html, run, **options), "html-boilerplate")
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() != name.lower()]
-    given = pages.select(*(F.col(f"`{c}`") for c in kept), host_and_path(F.col(f"`{url}`"))[0].alias("_host"), F.col(f"`{html}`").alias("_text"))
-    fields = given.drop("_text", "_host").schema.fields
-
-    def settled(batches: Iterator[pa.RecordBatch], opened: bool) -> Iterator[pa.RecordBatch]:
-        """Pages without open blocks with their text; or (opened) those with, as lines of content and open text in `_lines`."""
-        for batch in pieces(batches, "_text"):
-            parsed = [blocks(t) for t in batch.column("_text").to_pylist()]
-            at = [i for i, p in enumerate(parsed) if any(z == OPEN for z, _ in p) == opened]
-            rest = batch.drop_columns(["_text"] if opened else ["_text", "_host"]).take(pa.array(at, pa.int64()))
-            if not opened:
-                text = pa.array(["\n".join(t for z, t in parsed[i] if z == CONTENT) for i in at], pa.string())
-                yield pa.RecordBatch.from_arrays([*rest.columns, text], [*rest.schema.names, name])
-            else:
-                streams = [_stream(parsed[i]) for i in at]
-                grams = [run_hashes(s, run).view(np.int64) for s in streams]
-                columns = [pa.array([hashlib.md5(s.tobytes()).digest() for s in streams], pa.binary()), pa.array(grams, pa.list_(pa.int64())), pa.array([[f"{z}{t}" for z, t in parsed[i]] for i in at], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "_key", "_grams", "_lines"])
-
-    done = given.transform(map_arrow, lambda b: settled(b, False), StructType([*fields, StructField(name, StringType())]))
-    more = StructType.fromDDL("_host string, _key binary, _grams array<long>, _lines array<string>").fields
-    opened = stored(given.transform(map_arrow, lambda b: settled(b, True), StructType([*fields, *more])), "html-open")
-    places = opened.groupBy("_host", "_key").agg(F.any_value("_grams").alias("_grams")).select("_host", "_key", F.posexplode("_grams").alias("place", "gram"))
-    covered = places.join(found, (F.col("_host") == F.col("host")) & (places["gram"] == found["gram"])).groupBy("_host", "_key").agg(F.collect_set("place").alias("_covered"))
-    joined = opened.drop("_grams").join(covered, ["_host", "_key"], "left").drop("_host", "_key")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.drop_columns(["_lines", "_covered"])
-            text = [without_runs(lines, places or [], run) for lines, places in zip(batch.column("_lines").to_pylist(), batch.column("_covered").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(text, pa.string())], [*rest.schema.names, name])
-
-    return done.unionByName(joined.transform(map_arrow, cut, StructType([*fields, StructField(name, StringType())])))
+    found = parsed(pages, url, html, keep, name, structure)
+    columns = [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(kept)]
+    done, opened = found.where("lines is null"), found.where("lines is not null")
+    grams = stored(boilerplate(found, run, least_pages, shard), "html-boilerplate")
+    joined = opened.select("site", "key", "row", "lines").join(covered(opened, grams, run), ["site", "key"], "left")
+
+    def cut(lines: pa.Array, places: pa.Array) -> list[pa.Array]:
+        return [pa.array([without_runs(x, p or [], run) for x, p in zip(lines.to_pylist(), places.to_pylist())], pa.string())]
+
+    cut_out = map_text(joined, "lines", [StructField("text", StringType())], cut, ["row"], also=["places"])
+    return done.select("row", "text").unionByName(cut_out).select(*columns, F.col("text").alias(name))
 
 
 def without_runs(lines: list[str], starts: list[int], run: int) -> str:
     """Text of content blocks and of open blocks' tokens outside the runs that begin at `starts` of the page's stream."""
     zones, texts = [int(x[0]) for x in lines], [x[1:].split(" ") for x in lines]
-    total = sum(len(t) for z, t in zip(zones, texts) if z != CONTENT)
-    covered = np.zeros(total + 1, np.int64)
+    total = sum(2 + len(t) for z, t in zip(zones, texts) if z != CONTENT)
+    covers = np.zeros(total + 1, np.int64)
     for s in starts:
-        covered[s] += 1
-        covered[min(total, s + run)] -= 1
-    hit, at, out = np.cumsum(covered) > 0, 0, []
+        covers[s] += 1
+        covers[min(total, s + run)] -= 1
+    hit, at, out = np.cumsum(covers) > 0, 0, []
     for zone, words in zip(zones, texts):
         if zone != CONTENT:
-            own = hit[at : at + len(words)]
-            at += len(words)
-            words = [w for w, h in zip(words, own) if not h] if zone == OPEN else []
+            own = hit[at + 1 : at + 1 + len(words)]
+            at += 2 + len(words)
+            words = [w for w, h in zip(words, own) if not h] if zone == OPEN and 2 * own.sum() < len(words) else []
         if words:
             out.append(" ".join(words))
     return "\n".join(out)
