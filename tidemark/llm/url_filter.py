@@ -4,9 +4,10 @@ DataFrame functions only. A rule is (action, host, path). It fits its host and a
 with the rule's path. Of the fitting rules the longest (host and path together) wins; of equally long ones that with the
 longer host, then block before allow.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule. Repeated URLs get equal
-verdicts. An empty table gives an empty result; an empty rule list gives every URL the default verdict. Columns of the
-input are kept; the four added ones replace columns of the same name.
+Defined results: a null URL, or one without ``://``, has an empty host and path and fits no rule. URLs may be of any length; a
+URL is expanded into its host suffixes times the lengths of the rules' paths. Repeated URLs get equal verdicts. Where no rule
+fits, the verdict is `default`. An empty table gives an empty result; an empty rule list gives every URL the default verdict.
+Columns of the input are kept, whatever their names; the four added ones replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The rules of the registered query, then the hosts that the method itself blocks where no rule fits.
+from tidemark.llm.common import free_name, quoted
+
+#: The rules of the registered query.
 RULES = (
     ("block", "net", "/"),
     ("allow", "example.net", "/en/"),
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-UNSAFE_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PREFIX = 8  # hex digits of the digest that the first join compares
@@ -57,30 +59,25 @@ def expressions(urls: DataFrame, lengths: Column) -> DataFrame:
     return with_digest(df, F.col("expr_host"), F.col("expr_path"))
 
 
-def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", unsafe_labels: Sequence[str] = UNSAFE_LABELS) -> DataFrame:
+def url_filter(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (its text, or null) and verdict.
 
     rules: rule_table()'s columns, of any size: it is joined by a shuffle unless Spark's own size check lets it broadcast
     it. Distinct URLs are judged once, so a URL that many rows share is neither expanded nor joined for each of them.
-    Where no rule fits, a host with one of unsafe_labels is blocked and others get `default`.
     """
-    host, path = host_and_path(F.col("_url"))
-    urls = df.select(F.coalesce(F.col(url), F.lit("")).alias("_url")).distinct()
+    own = free_name(df.columns, "own_url")
+    host, path = host_and_path(F.col(own))
+    given = F.coalesce(quoted(url), F.lit("")).alias(own)
     lengths = rules.select(F.length("rule_path").alias("n")).distinct().agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    parsed = urls.select("_url", host.alias("host"), path.alias("path"))
+    parsed = df.select(given).distinct().select(own, host.alias("host"), path.alias("path"))
     candidates = expressions(parsed.crossJoin(F.broadcast(lengths)).where("host <> ''"), F.col("lengths"))
     found = candidates.alias("e").join(rules.alias("r"), F.col("e.digest_prefix") == F.col("r.digest_prefix"))
     found = found.where("e.digest = r.digest and e.expr_host = r.rule_host and e.expr_path = r.rule_path")
     order = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("action"), F.concat("rule_host", "rule_path").alias("rule"))
-    best = found.groupBy("_url").agg(F.max(order).alias("best"))
-    judged = parsed.join(best, "_url", "left")
-    unsafe = F.lit(False)
-    if unsafe_labels:
-        unsafe = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, unsafe_labels)))
-    own = F.when(unsafe, F.lit("block")).otherwise(F.lit(default))
-    judged = judged.select("_url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), own).alias("verdict"))
+    best = found.groupBy(own).agg(F.max(order).alias("best"))
+    judged = parsed.join(best, own, "left").select(own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
     kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(url), F.lit("")).alias("_url")).join(judged, "_url", "left").drop("_url")
+    return df.select(*map(quoted, kept), given).join(judged, own, "left").drop(own)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +97,6 @@ best AS (
   SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path) * 1000 + length(rule_host)) AS rule,
          arg_max(action, length(rule_host || rule_path) * 1000 + length(rule_host)) AS action
   FROM numbered JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY k)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN list_has_any(string_split(host, '.'),
-  ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM numbered LEFT JOIN best USING (k)
 """
