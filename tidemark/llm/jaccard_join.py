@@ -14,8 +14,13 @@ similarity of their sets is at least `threshold`. The join works on classes of e
    a group are then compared exactly on whole sets, in blocks of classes, so a pair missed in every run is still found if
    other links connect it. Only sums per class and a spanning forest leave a block, never the pairs.
 
+The pairs of a candidate group are all compared: a group of g different texts costs g squared comparisons, and each of its sets is
+sent to g / BLOCK tasks. The number of links, which is exact, costs as much.
+
 Defined results: null and empty texts, and those of white space only, have no set; they have no links and are classes of
-their own row's text, so equal ones share a class. Repeated rows are copies of one text. An empty table gives an empty result.
+their own row's text, so equal ones share a class. Repeated rows are copies of one text; texts may be of any length. Null ids
+come after all others where the least id counts. An empty table gives an empty result. Only the key and text columns are
+read, whatever the others are named.
 """
 
 from __future__ import annotations
@@ -231,20 +236,25 @@ def candidate_edges(found: DataFrame, threshold: float = THRESHOLD, recall: floa
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([keys[a] for a, _ in edges], pa.binary()), pa.array([keys[b] for _, b in edges], pa.binary())], ["a", "b"])
 
-    edges, level = None, sets.transform(map_arrow, start, "key binary, path long")
+    edges, level, before, parts = None, sets.transform(map_arrow, start, "key binary, path long"), [], []
     for d in range(1, depth + 1):
         level = stored(level.distinct() if d > 1 else level, f"join-level{d}")
-        met = level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = stored(level.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"join-sizes{d}")  # stored, so that a join may split a large node
         rows = stored(level.join(met, "path"), f"join-met{d}")
+        drop_stored(level, met, *before)
+        before = [rows]
         last = d == depth
         small = _dealt(rows if last else rows.where(F.col("size") <= leaf), "path", "size", BLOCK).join(sets, "key")
         part = small.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").transform(map_arrow, compare, "a binary, b binary")
         part = stored(part.distinct(), f"join-edges{d}")
+        parts.append(part)
         edges = part if edges is None else edges.union(part)
         if last or not (large := rows.where(F.col("size") > leaf)).limit(1).count():
             break
         level = large.select("key", "path").join(sets, "key").select("key", "path", "sketch").transform(map_arrow, deeper, "key binary, path long")
-    return edges.distinct()
+    found = stored(edges.distinct(), "join-edges")
+    drop_stored(*before, *parts)
+    return found
 
 
 def jaccard_links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, ngram: int = NGRAM, recall: float = RECALL, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
