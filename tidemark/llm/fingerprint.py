@@ -10,7 +10,10 @@ The random numbers are made from the bits of three hashes of term and position,
 r and c are -ln of a product of two uniform numbers of 32 bits, b has 48 bits.
 
 Defined results: a null text counts as empty; a text without words has the fingerprint of zeros, alike (1.0) to another
-such one and to nothing else (0.0). Equal texts have equal fingerprints. An empty table gives an empty result.
+such one and to nothing else (0.0). Equal texts have equal fingerprints, and texts may be of any length. Rows with equal keys
+follow each other by digest of their text, null keys are last; equal rows are interchangeable. Keys that aren't integers are
+refused. An empty table gives an empty result. Columns of the input are kept by fingerprint(), whatever their names, but for
+one named as the result; compare_with_edited() reads the key and text alone.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.common import CACHES, map_arrow, map_text, mix64, pieces, quoted, text_hash
 
 SAMPLES = 64
 BUCKET_BYTES = 8 << 20
-MOST_BUCKETS = 10_000
+MOST_BUCKETS = 100_000
 _words = re.compile(r"\w+").findall
 _LOW, _S16, _S32 = np.uint64(0xFFFF), np.uint64(16), np.uint64(32)
 _R, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -132,31 +135,43 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Rows (bucket, guest, _key, _h, key, _text) dealt out by `bucket`, in which each row is followed by its successor.
 
-    The order is: descending key, null last, then by digest of the text; after the last row comes the first. Keys are cut
-    into buckets at quantiles; a bucket ends with a guest, the first row of the bucket below (of the highest one, for the
-    lowest). A bucket holds about bucket_bytes of text; only cuts and one key a bucket reach the driver.
+    The order is: descending key (an integer), null last, then by digest of the text; after the last row comes the first. Keys
+    are cut into buckets at quantiles, and a key that takes several quantiles also by digest; a bucket ends with a guest, the
+    first row of the bucket below (of the highest one, for the lowest). A bucket holds about bucket_bytes of text, more beyond
+    MOST_BUCKETS of them; only cuts and one row's key and digest a bucket reach the driver.
     """
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63))).alias("_key"), F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be an integer")
+    rows = docs.select(F.coalesce(quoted(key).cast("long"), F.lit(-(1 << 63))).alias("_key"), quoted(key).alias("key"), F.coalesce(quoted(text), F.lit("")).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     n = int(min(MOST_BUCKETS, max(1, size // bucket_bytes)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n + 1000).alias("q")).first()["q"] or [])) if n > 1 else []
+    cuts = np.array(sorted(rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10 * n + 1000).alias("q")).first()["q"] or []) if n > 1 else [], np.int64)
+    keys, parts = np.unique(cuts, return_counts=True)  # a key that is `parts` quantiles has as many buckets
+    first = np.concatenate(([0], np.cumsum(parts)))
 
     @F.pandas_udf(LongType())
-    def bucket_of(keys):
+    def bucket_of(key, part):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(np.asarray(cuts, np.int64), keys.to_numpy(), side="left").astype(np.int64))
-
-    bucket = bucket_of("_key") if cuts else F.lit(0).cast("long")
-    highest = {r["bucket"]: r["k"] for r in rows.select("_key").withColumn("bucket", bucket).groupBy("bucket").agg(F.max("_key").alias("k")).collect()}
-    order = sorted(highest)
-    to = [(highest[b], order[(i + 1) % len(order)]) for i, b in enumerate(order)]  # a head is the guest of the bucket above
-    heads = docs.sparkSession.createDataFrame(to, "_key long, bucket long")
+        at = np.searchsorted(keys, key.to_numpy(), side="left")
+        hit = np.append(keys, 0)[at] == key.to_numpy()
+        more = np.append(parts, 1)[at]
+        inside = np.where(hit & (at < len(keys)), more - 1 - part.to_numpy() * more // 65536, 0)
+        return pd.Series((first[at] + inside).astype(np.int64))
+
+    part = F.conv(F.hex(F.substring("_h", 1, 2)), 16, 10).cast("long")  # the least digests come first, so in the highest bucket
+    rows = rows.withColumn("_h", text_hash(F.col("_text")))
+    rows = rows.withColumn("bucket", bucket_of("_key", part) if len(cuts) else F.lit(0).cast("long"))
+    highest = rows.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("_key").alias("k"), F.col("_h").alias("h"))).alias("s")).collect()  # the complement turns the order
+    found = {r["bucket"]: (~r["s"]["k"], r["s"]["h"]) for r in highest}
+    order = sorted(found)
+    to = [(*found[b], order[(i + 1) % len(order)], i) for i, b in enumerate(order)]  # a head is the guest of the bucket above
+    heads = docs.sparkSession.createDataFrame([(k, h, b) for k, h, b, _ in to], "_key long, _h binary, to long")
     columns = ["bucket", "guest", "_key", "_h", "key", "_text"]
-    own = rows.withColumn("bucket", bucket).withColumn("guest", F.lit(0)).withColumn("_h", text_hash(F.col("_text"))).select(*columns)
-    guests = rows.join(F.broadcast(heads), "_key").groupBy("bucket", "_key").agg(F.min_by(F.struct("key", "_text"), text_hash(F.col("_text"))).alias("v"))
+    guests = rows.drop("bucket").join(F.broadcast(heads), ["_key", "_h"]).groupBy(F.col("to").alias("bucket"), "_key").agg(F.any_value(F.struct("key", "_text")).alias("v"))
     guests = guests.select("bucket", F.lit(1).alias("guest"), "_key", F.lit(None).cast("binary").alias("_h"), F.col("v.key").alias("key"), F.col("v._text").alias("_text"))
-    return own.union(guests).repartition(max(1, len(order)), "bucket").sortWithinPartitions("bucket", "guest", F.col("_key").desc(), "_h")
+    dealt = rows.withColumn("guest", F.lit(0)).select(*columns).union(guests)
+    return dealt.repartitionById(max(1, n), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", F.col("_key").desc(), "_h")
 
 
 def compare_with_edited(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
