@@ -174,9 +174,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
-    """Bytes of each value of a text or bytes column, and of a list column of numbers."""
+    """Bytes of each value of a text or bytes column, and of a list column of texts or numbers, about."""
     if pa.types.is_list(column.type):
-        return np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64) * 8
+        own = np.append(0, np.cumsum(_lengths(column.flatten()) if pa.types.is_string(column.type.value_type) else np.full(len(column.flatten()), 8)))
+        n = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+        ends = np.cumsum(n)
+        return own[ends] - own[ends - n]
     return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
