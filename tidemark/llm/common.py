@@ -186,11 +186,11 @@ def _lengths(column: pa.Array) -> np.ndarray:
 class HashFilter:
     """A set of 64-bit hashes as a bit table: no member is missed, others pass with probability members / bits.
 
-    The table has 16 bits a member, 2**28 bits (32 MB) at most, whatever the input's size. It only decides which rows
-    take the exact path; the exact join that follows settles them.
+    The table has 64 bits a member, 2**22 bits (512 KB) at least and 2**28 (32 MB) at most, whatever the input's size. It only
+    decides which rows take the exact path; the exact join that follows settles them.
     """
 
-    MOST_BITS = 1 << 28
+    LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
     def __init__(self, table: np.ndarray) -> None:
         self.table, self.mask = table, np.uint64(len(table) * 64 - 1)
@@ -199,8 +199,8 @@ class HashFilter:
     def build(cls, hashes: DataFrame, column: str) -> HashFilter:
         """hashes: a LONG column of hashes whose low bits are uniform. Words of the table are OR-ed on the executors."""
         n = hashes.count()
-        bits = 1 << 10
-        while bits < min(16 * n, cls.MOST_BITS):
+        bits = cls.LEAST_BITS
+        while bits < min(64 * n, cls.MOST_BITS):
             bits *= 2
         place = F.col(column).bitwiseAND(bits - 1)
         words = hashes.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
