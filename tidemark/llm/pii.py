@@ -14,9 +14,9 @@ Terms that disclose a kind are sanitised wherever they occur, for they show enti
 a value or a group are sanitised in the documents where they stand near it; documents without entities keep them. Entities
 become their kind in brackets, disclosing numbers <number>, and other disclosing terms go.
 
-Counts cover every document. Words of the corpus are counted only where a bounded hash filter (32 MB at most) takes them
-for terms of a pair that could pass; exact joins settle the rest. Terms reach documents by a join on the digest of the text, so
-nothing that grows with the data is broadcast or collected.
+Counts cover every document and word, in one pass whose tasks hold about BLOCK words. Which documents hold a term that
+discloses a kind is told by a bounded hash filter (32 MB at most) and settled by an exact join. Terms reach documents by a join
+on the digest of the text, so nothing that grows with the data is broadcast or collected.
 
 Defined results: a null text counts as empty and has no spans; sanitising leaves a null text null. Texts may be of any
 length. Repeated rows count as documents, but only different texts count for k, and equal texts have equal spans. Ties don't
@@ -41,7 +41,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tidemark.llm.common import HashFilter, WordHashes, free_name, map_arrow, map_text, pieces, quoted, stored, text_hash
 
-WINDOW, DISCLOSURE, CHANCE, SECRET = 10, 0.8, 0.01, 20
+WINDOW, DISCLOSURE, CHANCE, SECRET, BLOCK = 10, 0.8, 0.01, 20, 200_000
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 _SECRET, _TERM = 4, 5
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -173,8 +173,26 @@ def _levels(met: DataFrame) -> DataFrame:
     return rows.groupBy("level", "entity", "term", "key").agg(F.max("n").alias("n"))
 
 
-def _hits(given: DataFrame, terms: DataFrame, count: bool) -> DataFrame:
-    """Words of the texts that a hash filter takes for one of `terms`: term, n (documents); or key, term, a row a text and term."""
+def _counted(given: DataFrame, most: int = BLOCK) -> DataFrame:
+    """term, n_term: in how many texts each word of the corpus stands; a task gives its counts out when it holds `most` words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+        for batch in pieces(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                if t:
+                    total.update(set(_word.findall(t.lower())))
+            if len(total) >= most:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    return given.transform(map_arrow, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def _placed(given: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, term: the words of each text that a hash filter takes for one of `terms`."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,20 +204,13 @@ def _hits(given: DataFrame, terms: DataFrame, count: bool) -> DataFrame:
         words = list(set(_word.findall(text.lower()))) if text else []
         return [words[i] for i in np.flatnonzero(sent.value.hits(_hashes.of(words))).tolist()] if words else []
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            total: Counter = Counter()
-            for t in batch.column("text").to_pylist():
-                total.update(words_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = {t: words for t in batch.column("text").to_pylist() if (words := words_of(t))}
             keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, w in zip(keys, found.values()) for _ in w], pa.binary()), pa.array([x for w in found.values() for x in w], pa.string())], ["key", "term"])
 
-    return given.transform(map_arrow, counted, "term string, n long") if count else given.transform(map_arrow, placed, "key binary, term string")
+    return given.transform(map_arrow, place, "key binary, term string")
 
 
 def _by_chance(expected: Column) -> Column:
@@ -222,8 +233,7 @@ def disclosing_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW,
     most = math.log(chance / tested)
     least = F.col("n_entity") * F.col("n_near") / F.lit(float(n))  # expected meetings if the term stood nowhere else
     able = stored(named.where(_by_chance(least) <= most), "pii-able")
-    counts = _hits(given, able.select("term").distinct(), True).groupBy("term").agg(F.sum("n").alias("n_term"))
-    joined = able.join(counts, "term").withColumn("n_term", F.greatest("n_term", "n_near"))
+    joined = able.join(_counted(given), "term").withColumn("n_term", F.greatest("n_term", "n_near"))
     information = F.lit(math.log2(n)) - F.log2("n_entity")
     mutual = information + F.log2("n_near") - F.log2("n_term")
     joined = joined.withColumn("share", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
@@ -237,7 +247,7 @@ def terms_of_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     found = met.where("level < 2 and term <> ''").join(pairs.where("level < 2").select("level", "entity", "term"), ["level", "entity", "term"]).select("key", "term")
     kinds = pairs.where("level = 2").select("term").distinct()
     if kinds.limit(1).count():
-        found = found.union(_hits(docs.select(quoted(text).alias("text")), kinds, False).join(kinds, "term").select("key", "term"))
+        found = found.union(_placed(docs.select(quoted(text).alias("text")), kinds).join(kinds, "term").select("key", "term"))
     return stored(found.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-terms")
 
 
