@@ -35,7 +35,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.llm.common import WordHashes, map_arrow, map_text, mix64, pieces, quoted, stored
 from tidemark.llm.url_filter import host_and_path
 
-RUN, LEAST_PAGES, SHARD = 8, 3, 1_000_000
+RUN, LEAST_PAGES, SHARD = 8, 3, 200_000
 CONTENT, OTHER, OPEN = 0, 1, 2
 
 #: Elements that show no text of the page; element names, and words of class, id and role attributes, that mark what is
