@@ -21,7 +21,7 @@ def test_fits_recover_parameters():
     assert dist.fit_weibull2(2 * (-np.log(u)) ** (1 / 1.5)) == pytest.approx((1.5, 2), abs=0.05)
     assert dist.fit_weibull_moments(1 + 2 * (-np.log(u)) ** (1 / 1.5)) == pytest.approx((1.5, 1, 2), abs=0.1)
     assert dist.fit_gev(3 + 2 / 0.1 * (1 - (-np.log(u)) ** 0.1)) == pytest.approx((0.1, 3, 2), abs=0.08)
-    assert dist.fit_pareto(2 / 0.1 * (u**-0.1 - 1)) == pytest.approx((0.1, 2), abs=0.08)
+    assert dist.fit_pareto(2 / 0.1 * (u**-0.1 - 1)) == pytest.approx((0.1, 0, 2), abs=0.08)
     assert dist.normal_quantile(np.array([0.5, 0.975])) == pytest.approx([0, 1.959964], abs=1e-5)
 
 

@@ -23,6 +23,18 @@ def weibull(mean: float, var: float, skew: float) -> tuple[float, float, float]:
     return c, mean - scale * math.gamma(1 + 1 / c), scale
 
 
+def lognormal(mean: float, var: float, skew: float) -> tuple[float, float, float]:
+    """Mu, sigma and location of the three-parameter lognormal distribution with these moments; skewness counts as 0.01 at least."""
+    skew = max(skew, 0.01)
+    low, high = 1e-6, 20.0  # w - 1 with (w + 2) sqrt(w - 1) = skewness, w = exp(sigma ** 2)
+    for _ in range(200):
+        w = (low + high) / 2
+        low, high = (w, high) if (w + 3) * math.sqrt(w) < skew else (low, w)
+    sigma = math.sqrt(math.log1p(w))
+    mu = 0.5 * math.log(var / (w * (1 + w)))
+    return mu, sigma, mean - math.exp(mu + sigma**2 / 2)
+
+
 def weibull_at_zero(mean: float, var: float) -> tuple[float, float]:
     """Shape and scale of the Weibull distribution with location 0."""
     low, high, wanted = 0.2, 60.0, var / mean**2

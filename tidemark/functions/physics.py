@@ -87,3 +87,60 @@ def angle_between(a: Column, b: Column) -> Column:
 def math_direction(d: Column) -> Column:
     """Compass to mathematical direction and back."""
     return F.pmod(F.lit(450.0) - d, F.lit(360.0))
+
+
+#: Fixed values of the double-peaked spectrum: the limiting period's factor, its lower and upper bound's, and the shares and widths of both seas.
+FETCH, LOWER, UPPER = 6.6, 2.0, 25.0
+WIND_SHARE, WIND_WIDTH, SWELL_SHARE, SWELL_WIDTH, PEAK, PEAK_RISE, SWELL_LAG, NORM = 0.7, 0.5, 0.6, 0.3, 35.0, 6.0, 2.0, 3.26
+
+
+def torsethaugen(f: Column, hs: Column, tp: Column, g: float = 9.81) -> Column:
+    """Density of the simplified double-peaked spectrum of a wind sea with swell; 0 where it isn't defined."""
+    limit = FETCH * F.cbrt(hs)
+    wind = tp <= limit
+    low = (limit - tp) / (limit - LOWER * F.sqrt(hs))
+    high = (tp - limit) / (UPPER - limit)
+    share = F.when(wind, (1 - WIND_SHARE) * F.exp(-F.pow(low / WIND_WIDTH, 2.0)) + WIND_SHARE).otherwise((1 - SWELL_SHARE) * F.exp(-F.pow(high / SWELL_WIDTH, 2.0)) + SWELL_SHARE)
+    main, rest = share * hs, F.sqrt(F.greatest(1 - share * share, F.lit(0.0))) * hs
+    second = F.when(wind, limit + SWELL_LAG).otherwise(FETCH * F.cbrt(rest))
+    steep = F.when(wind, 2 * math.pi / g * main / (tp * tp)).otherwise(2 * math.pi / g * hs / (limit * limit))
+    gamma = F.greatest(PEAK * F.pow(steep, 6 / 7) * F.when(wind, 1.0).otherwise(1 + PEAK_RISE * high), F.lit(1.0))
+
+    def peak(period: Column) -> Column:
+        n = F.pow(f * period, -4.0)
+        return NORM * n * F.exp(-n)
+
+    scaled = f * tp
+    sigma = F.when(scaled > 1, 0.09).otherwise(0.07)
+    sharpened = peak(tp) * (1 + 1.1 * F.pow(F.log(gamma), 1.19)) / gamma * F.pow(gamma, F.exp(-F.pow(scaled - 1, 2.0) / (2 * sigma * sigma)))
+    s = main * main * tp / 16 * sharpened + F.when(rest > 0, rest * rest * second / 16 * peak(second)).otherwise(0.0)
+    return F.coalesce(F.nanvl(F.when((f > 0) & (hs > 0) & (tp > 0), s), F.lit(0.0)), F.lit(0.0))
+
+
+#: Coefficients of the rational approximation of the dispersion relation.
+DISPERSION = (0.66667, 0.35550, 0.16084, 0.06320, 0.02174, 0.00654, 0.00171, 0.00039, 0.00011)
+
+
+def wave_number_rational(period: Column, depth: Column | float, g: float = 9.82) -> Column:
+    """Wave number by a rational approximation, without iteration; 0 for a negative depth."""
+    depth = depth if isinstance(depth, Column) else F.lit(float(depth))
+    omega = 2 * math.pi / period
+    y = omega * omega * depth / g
+    x = F.lit(DISPERSION[-1])
+    for a in reversed(DISPERSION[:-1]):
+        x = a + y * x
+    return F.when(depth < 0, 0.0).otherwise(omega / F.sqrt(g * depth / (y + 1 / (1 + y * x))))
+
+
+def velocity_density(f: Column, s: Column, k: Column, depth: float, z: Column) -> Column:
+    """Density of the horizontal velocity z metres below the surface, from that of the elevation and the wave number."""
+    transfer = 2 * math.pi * f * F.exp(-k * z) * (1 + F.exp(-2 * k * (depth - z))) / (1 - F.exp(-2 * k * depth))
+    return F.coalesce(s * transfer * transfer, F.lit(0.0))
+
+
+CREST_MARGIN = 1.135  # of the greatest crest over the one with probability 0.85 (fixed value)
+
+
+def greatest_crest(hs: Column, tm: Column, depth: float, sea_state: str = "long") -> Column:
+    """Greatest crest in three hours, with the margin that model tests show."""
+    return CREST_MARGIN * crest(hs, tm, depth, sea_state)
