@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.series import bin_left, clean, grouped, sector, with_extent
 
@@ -23,12 +24,28 @@ def by_month_and_sector(df: DataFrame, ts: str, value: str, direction: str, stat
     return grouped(keyed, [["month", "sector"], ["month"], ["sector"], []], value, stats)
 
 
-def period_maxima(df: DataFrame, ts: str, value: str, by: str, sectors: str | None = None) -> DataFrame:
-    """Least, mean and greatest of the maxima of each year's months (by='month') or of each year and sector."""
-    keyed = clean(df, value).withColumns({"_year": F.year(ts), "_month": F.month(ts)} | ({"sector": sector(F.col(sectors))} if sectors else {}))
-    key = "sector" if by == "sector" else "_month"
-    maxima = keyed.groupBy("_year", "_month", *([key] if key == "sector" else [])).agg(F.max(value).alias("_max")).withColumn(by, F.col(key))
-    return grouped(maxima, [[by], []], "_max", ("min", "mean", "max"))
+def with_share(table: DataFrame) -> DataFrame:
+    """A month and sector table (with count) and pct, the rows' share of their month's, or of all rows."""
+    whole = table.where(F.col("sector").isNull()).select(F.col("month").alias("_m"), F.col("count").alias("_all"))
+    out = table.join(F.broadcast(whole), F.col("month").eqNullSafe(F.col("_m"))).withColumn("pct", F.round(100 * F.col("count") / F.col("_all"), 6))
+    return out.select("month", "sector", "count", "pct", *(c for c in table.columns if c not in ("month", "sector", "count")))
+
+
+def by_day_of_month(df: DataFrame, ts: str, value: str, stats: Sequence[str] = STATS) -> DataFrame:
+    """Statistics by month and day of the month; the 366th day of a year is left out."""
+    keyed = clean(df, value).where(F.dayofyear(ts) < 366).withColumns({"month": F.month(ts), "day": F.dayofmonth(ts)})
+    return grouped(keyed, [["month", "day"]], value, stats)
+
+
+def period_maxima(df: DataFrame, ts: str, value: str, sectors: str | None = None) -> DataFrame:
+    """Least, mean and greatest of the maxima of each calendar month over the years, or (sectors) of the yearly maxima of each
+    direction sector. The row with a null key is over the yearly maxima of all rows."""
+    key, name = (sector(F.col(sectors)), "sector") if sectors else (F.month(ts), "month")
+    keyed = clean(df, value).withColumns({"_year": F.year(ts), name: key})
+    cells = keyed.groupBy("_year", name).agg(F.max(value).alias("_max"))
+    yearly = cells.groupBy("_year").agg(F.max("_max").alias("_max"))
+    stats = ("min", "mean", "max")
+    return grouped(cells, [[name]], "_max", stats).unionByName(grouped(yearly.withColumn(name, F.lit(None).cast("int")), [[name]], "_max", stats))
 
 
 def rose(df: DataFrame, value: str, direction: str, cuts: Sequence[float] = (0.4, 0.6, 0.8, 0.99), sectors: int = 12) -> DataFrame:
@@ -37,8 +54,8 @@ def rose(df: DataFrame, value: str, direction: str, cuts: Sequence[float] = (0.4
     edges = df.agg(F.percentile(value, list(cuts)).alias("edges"))
     level = F.size(F.filter("edges", lambda e: e <= F.col(value)))
     counted = df.crossJoin(F.broadcast(edges)).groupBy(sector(F.col(direction), sectors).alias("sector"), level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("sector", "level", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("pct"))
+    total = F.sum("n").over(Window.partitionBy())  # of a few hundred cells
+    return counted.select("sector", "level", "n", F.round(100 * F.col("n") / total, 6).alias("pct"))
 
 
 def scatter_diagram(df: DataFrame, x: str, step_x: float, y: str, step_y: float, from_origin: bool = False) -> DataFrame:
@@ -53,8 +70,8 @@ def scatter_diagram(df: DataFrame, x: str, step_x: float, y: str, step_y: float,
         return (origin + F.least(bin_left(F.col(c), step, origin), n - 1) * step).cast("double")
 
     counted = df.select(bins(x, "x", step_x).alias("x_from"), bins(y, "y", step_y).alias("y_from")).cube("x_from", "y_from").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("x_from", "y_from", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("pct"))
+    total = F.max("n").over(Window.partitionBy())  # the cells' own grand total
+    return counted.select("x_from", "y_from", "n", F.round(100 * F.col("n") / total, 6).alias("pct"))
 
 
 def sorted_by_bins(df: DataFrame, value: str, by: str, step: float = 1.0) -> DataFrame:
