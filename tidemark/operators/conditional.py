@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.moments import curve
@@ -48,3 +49,43 @@ def with_curve(classes: DataFrame, name: str) -> DataFrame:
     added = [c for c in table.columns if c.endswith("_model")]
     rows = [tuple([int(k)] + [None if pd.isna(v) else float(v) for v in vs]) for k, *vs in table[["k", *added]].itertuples(index=False)]
     return classes.join(F.broadcast(classes.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{c} double" for c in added))), "k", "left")
+
+
+def coefficients(classes: DataFrame, name: str) -> dict[str, list[float] | None]:
+    """Coefficients of the curve `name` for each statistic of given_classes(); None where too few classes have rows enough."""
+    f, start = CURVES[name]
+    used = classes.where("mean is not null and std is not null").orderBy("k").toPandas()  # a row a class
+    fit = lambda c: curve(f, used["centre"].to_numpy(float), used[c].to_numpy(float), start).tolist() if len(used) >= len(start) else None
+    return {c: fit(c) for c in ("mean", "std", "p5", "p95")}
+
+
+def coefficient_table(classes: DataFrame, name: str) -> DataFrame:
+    """statistic, a, b, c (and d): a row a statistic."""
+    found, letters = coefficients(classes, name), "abcd"[: len(CURVES[name][1])]
+    rows = [(s, *(map(float, v) if v else [None] * len(letters))) for s, v in found.items()]
+    return classes.sparkSession.createDataFrame(rows, "statistic string, " + ", ".join(f"{x} double" for x in letters))
+
+
+def _expression(name: str, x: Column, p: list[float]) -> Column:
+    if name in ("height_on_wind", "current_on_wind"):
+        return p[0] + p[1] * F.pow(x, p[2] + p[3] * x)
+    return p[0] + p[1] * F.pow(x, F.lit(p[2])) if name == "current_on_height" else p[0] + p[1] * x + p[2] * F.log(x)
+
+
+def with_model(rows: DataFrame, x: str, found: dict[str, list[float] | None], name: str, least: float | None = None) -> DataFrame:
+    """rows with mean, std, p5 and p95 of the curve at column x, none below `least`."""
+    if not found["mean"]:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std", "p5", "p95")})
+    mean, std = (_expression(name, F.col(x), found[c]) for c in ("mean", "std"))
+    at = {"mean": mean, "std": std, "p5": mean - 1.65 * std, "p95": mean + 1.65 * std}
+    return rows.withColumns({c: v if least is None else F.greatest(v, F.lit(least)) for c, v in at.items()})
+
+
+def at_return_values(df: DataFrame, ts: str, value: str, by: str, name: str, width: float, top: float, periods: Sequence[float] = (1, 10, 100, 10000), least: float | None = None) -> DataFrame:
+    """period, by (its return value, Weibull by moments of all rows), p5, mean, p95 of `value` by the curve fitted to its classes."""
+    from tidemark.operators.return_tables import return_table
+
+    whole = return_table(df, ts, by, F.lit(0), "_one", periods).where("_one is null")
+    pairs = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("period"), F.col(f"rv_{t:g}").alias(by)) for t in periods)))
+    rows = whole.select(pairs.alias("p")).select("p.*")
+    return with_model(rows, by, coefficients(given_classes(df, value, by, width, top), name), name, least).select("period", by, "p5", "mean", "p95")

@@ -122,3 +122,54 @@ def threshold_sensitivity(df: DataFrame, ts: str, value: str, thresholds: Sequen
         return pd.DataFrame({"threshold": u, "distribution": list(names), "n": n, "value": pd.Series(found, dtype=float)})
 
     return peaks.crossJoin(F.broadcast(years)).groupBy("threshold").applyInPandas(fit, "threshold double, distribution string, n long, value double")
+
+
+def annual_return_levels(df: DataFrame, ts: str, value: str, distribution: str = "GEV", periods: Sequence[float] = (50, 100, 1000), one_year: float | None = 1.6, bootstrap: int = 0, level: float = 0.9, seed: int = 1) -> DataFrame:
+    """period, value, non_exceedance (and low, high): the distribution of yearly maxima; a period of one year means one_year, if given."""
+    at = [one_year if one_year and t == 1 else float(t) for t in periods]
+    found = return_values(annual_maxima(df, ts, value), "value", distribution, at, bootstrap=bootstrap, level=level, seed=seed)
+    return found.withColumn("non_exceedance", F.when(F.col("period") >= 1, 1 - 1 / F.col("period")))
+
+
+def peak_return_levels(df: DataFrame, ts: str, value: str, distribution: str = "Weibull_2P", periods: Sequence[float] = (50, 100, 1000), u: float | None = None, hours: float = 48, bootstrap: int = 0, level: float = 0.9, seed: int = 1, excess: bool = True) -> DataFrame:
+    """period, value, non_exceedance (and low, high): peaks over u (the least yearly maximum unless given), at their mean number a
+    calendar year from the first to the last. The distribution is that of the excesses, or (excess=False) of the peaks themselves."""
+    if u is None:
+        u = threshold(df, ts, value).first()["threshold"]
+    years = df.agg(F.max(F.year(ts)) - F.min(F.year(ts)) + 1).first()[0]
+    moved = float(u) if excess else 0.0
+    peaks = peaks_over_threshold(df, ts, value, float(u), hours).select((F.col("value") - F.lit(moved)).alias("value"))
+    rate = peaks.count() / years
+    found = return_values(peaks, "value", distribution, periods, max(rate, 1e-12), bootstrap=bootstrap, level=level, seed=seed)
+    found = found.withColumns({c: F.col(c) + F.lit(moved) for c in found.columns if c != "period"})
+    return found.withColumn("non_exceedance", F.when(F.col("period") * rate >= 1, 1 - 1 / (F.col("period") * rate)))
+
+
+def capped_pareto_levels(df: DataFrame, ts: str, value: str, periods: Sequence[float] = (50, 100), u: float | None = None, hours: float = 48) -> DataFrame:
+    """period, value: generalised Pareto levels of the peaks that reach u; levels of three times u or more are null."""
+    if u is None:
+        u = threshold(df, ts, value).first()["threshold"]
+    found = peak_return_levels(df, ts, value, "GP", periods, float(np.nextafter(u, -np.inf)), hours)
+    return found.select("period", F.when(F.col("value") < 3 * F.lit(float(u)), F.col("value")).alias("value"))
+
+
+def empirical_return_levels(df: DataFrame, ts: str, value: str, method: str = "POT", u: float | None = None, block_days: float = 365.2425, one_a_year: bool = False) -> DataFrame:
+    """value, period, non_exceedance of block maxima (BM) or peaks over u, by rank / (n + 1) and their mean number a block.
+
+    one_a_year keeps the greatest block maximum of each calendar year and gives the chance of a maximum's being exceeded
+    among them; else non_exceedance is 1 - 1 / period from one year on. Extremes are few, so one task ranks them.
+    """
+    if method == "BM":
+        found = block_maxima(df, ts, value, block_days)
+        if one_a_year:
+            found = found.groupBy(F.year("peak_at").alias("y")).agg(F.max("value").alias("value"))
+    else:
+        u = threshold(df, ts, value).first()["threshold"] if u is None else u
+        found = peaks_over_threshold(df, ts, value, float(u), 24 if one_a_year else 48)
+    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    span = df.agg(((F.max(seconds) - F.min(seconds)) / (block_days * 86400)).alias("_blocks"))
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    p = F.row_number().over(Window.orderBy(F.col("value").desc())) / (n + 1)
+    rows = found.select("value").crossJoin(F.broadcast(span)).select("value", p.alias("_p"), (1 / p * F.col("_blocks") / n).alias("period"))
+    chance = 1 - F.col("_p") if one_a_year else F.when(F.col("period") >= 1, 1 - 1 / F.col("period"))
+    return rows.select("value", F.round("period", 6).alias("period"), F.round(chance, 9).alias("non_exceedance"))

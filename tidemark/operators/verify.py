@@ -19,6 +19,13 @@ def error_metrics(df: DataFrame, observed: str, modelled: str, by: list[str] | N
     return df.groupBy(*(by or [])).agg(*_metrics(F.col(observed), F.col(modelled)))
 
 
+def error_metrics_of_columns(df: DataFrame, observed: str, columns: list[str]) -> DataFrame:
+    """variable and its metrics against the observation: a row a column, in one scan."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("_y")) for c in columns)))
+    rows = df.select(F.col(observed).alias("_x"), pairs.alias("p")).select("_x", "p.*")
+    return error_metrics(rows, "_x", "_y", ["variable"])
+
+
 def binned_error_metrics(df: DataFrame, observed: str, modelled: str, size: float) -> DataFrame:
     """Metrics by classes (a, b] of the observation; `centre` is a class's middle."""
     keyed = clean(df, observed, modelled).where(f"{observed} is not null and {modelled} is not null")

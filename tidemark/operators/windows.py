@@ -34,7 +34,7 @@ def waiting(df: DataFrame, ts: str, ok: Column, steps: int, hours: float, by: Se
 def window_table(waits: DataFrame, ts: str) -> DataFrame:
     """Mean and quantiles of the days needed, by month of the row and over all."""
     keyed = waits.select(F.month(ts).alias("month"), (F.col("wait_h") / 24).alias("d"))
-    stats = [F.round(c, 6).alias(n) for n, c in (("mean", F.avg("d")), ("p10", F.percentile("d", 0.1)), ("p50", F.percentile("d", 0.5)), ("p90", F.percentile("d", 0.9)), ("max", F.max("d")))]
+    stats = [F.round(c, 6).alias(n) for n, c in (("mean", F.avg("d")), ("p10", F.percentile("d", 0.1)), ("p50", F.percentile("d", 0.5)), ("p90", F.percentile("d", 0.9)), ("p95", F.percentile("d", 0.95)), ("max", F.max("d")))]
     return keyed.groupingSets([[F.col("month")], []], F.col("month")).agg(F.count(F.lit(1)).alias("n"), *stats)
 
 

@@ -1,71 +1,17 @@
-"""Registered metocean queries over the driver's tables, each with its SQL.
-
-Series: lineitem and orders by day, events by microsecond; directions are event or order ids times 137.5 degrees.
-"""
+"""Registered metocean queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import corrections, physics
-from tidemark.operators import conditional, currents, describe, exceedance, extremes, hierarchical, joins, joint, profile, return_tables, spectra, trend, verify, water, windows
+from tidemark.functions import corrections, physics, quadrature
+from tidemark.operators import conditional, currents, describe, exceedance, extremes, hierarchical, joins, joint, profile, spectra, trend, verify, water, windows
+from tidemark.plans.base import ALL, DAILY, HOURLY, QUERIES, SEA, SECTOR, SQL, _daily, _events, _hourly, _line, _orders, _sea, _stats_sql, _t, query
 from tidemark.sources.text import table_to_csv
 from tidemark.streaming.peaks import streaming_peaks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _line(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-
-
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").select("event_id", "ts", "event_type", "value", F.pmod(F.col("event_id") * F.lit(137.5), F.lit(360.0)).alias("dir"))
-
-
-def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.pmod(F.col("o_orderkey") * F.lit(137.5), F.lit(360.0)).alias("dir"))
-
-
-def _daily(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "orders").groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(F.max("o_totalprice").alias("x"))
-
-
-def _hourly(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max("value").alias("x"))
-
-
-def _stats_sql(keys: str, sets: str, table: str, x: str, stats: str) -> str:
-    forms = {"count": f"count({x})", "mean": f"round(avg({x}), 6)", "std": f"round(stddev_samp({x}), 6)", "min": f"round(min({x}), 6)", "max": f"round(max({x}), 6)"}
-    parts = [f"{forms[s]} AS {s}" if s in forms else f"round(quantile_cont({x}, {int(s[1:]) / 100}), 6) AS {s}" for s in stats.split()]
-    return f"SELECT {keys}, {', '.join(parts)} FROM {table} GROUP BY GROUPING SETS ({sets})"
-
-
-ALL = "count mean std min p5 p50 p95 p99 max"
-DAILY = "(SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS ts, max(o_totalprice) AS x FROM orders GROUP BY 1)"
-HOURLY = "(SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, max(value) AS x FROM events GROUP BY 1)"
-SECTOR = "floor((({d}) + 15.0) % 360.0 / 30.0)::INT"
-
-
 @query("""WITH b AS (SELECT min(l_quantity) qa, max(l_quantity) qb, min(l_extendedprice) pa, max(l_extendedprice) pb, count(*) t FROM lineitem),
 o AS (SELECT floor(qa / 5) * 5 qo, floor(pa / 10000) * 10000 po, b.* FROM b),
 n AS (SELECT *, greatest(ceil((qb + 5 - qo) / 5) - 1, 1) qn, greatest(ceil((pb + 10000 - po) / 10000) - 1, 1) pn FROM o),
@@ -95,14 +41,20 @@ def hourly_percentiles(spark, d):
     return describe.by_calendar(_events(spark, d), "ts", "value", "hour")
 
 
-@query(f"SELECT m AS month, round(min(x), 6) AS min, round(avg(x), 6) AS mean, round(max(x), 6) AS max FROM (SELECT year(l_shipdate) y, month(l_shipdate)::INT m, max(l_extendedprice) x FROM lineitem GROUP BY 1, 2) GROUP BY GROUPING SETS ((m), ())")
+def _maxima_sql(key: str, name: str, table: str, ts: str, x: str) -> str:
+    stats = "round(min(x), 6) AS min, round(avg(x), 6) AS mean, round(max(x), 6) AS max"
+    return f"""WITH c AS (SELECT {key} AS {name}, max({x}) AS x FROM {table} GROUP BY year({ts}), {key}), y AS (SELECT max({x}) AS x FROM {table} GROUP BY year({ts}))
+SELECT {name}, {stats} FROM c GROUP BY 1 UNION ALL SELECT NULL, {stats} FROM y"""
+
+
+@query(_maxima_sql("month(l_shipdate)::INT", "month", "lineitem", "l_shipdate", "l_extendedprice"))
 def monthly_min_mean_max(spark, d):
-    return describe.period_maxima(_line(spark, d), "l_shipdate", "l_extendedprice", "month")
+    return describe.period_maxima(_line(spark, d), "l_shipdate", "l_extendedprice")
 
 
-@query(f"SELECT s AS sector, round(min(x), 6) AS min, round(avg(x), 6) AS mean, round(max(x), 6) AS max FROM (SELECT year(o_orderdate) y, month(o_orderdate) m, {SECTOR.format(d='o_orderkey * 137.5')} s, max(o_totalprice) x FROM orders GROUP BY 1, 2, 3) GROUP BY GROUPING SETS ((s), ())")
+@query(_maxima_sql(SECTOR.format(d="o_orderkey * 137.5"), "sector", "orders", "o_orderdate", "o_totalprice"))
 def directional_min_mean_max(spark, d):
-    return describe.period_maxima(_orders(spark, d), "o_orderdate", "o_totalprice", "sector", "dir")
+    return describe.period_maxima(_orders(spark, d), "o_orderdate", "o_totalprice", "dir")
 
 
 @query(_stats_sql("month, sector", "(month, sector), (month), (sector), ()", f"(SELECT month(o_orderdate)::INT AS month, {SECTOR.format(d='o_orderkey * 137.5')} AS sector, o_totalprice FROM orders)", "o_totalprice", "count mean p50 p95 max"))
@@ -193,7 +145,7 @@ def regression_lines(spark, d):
 
 @query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY ts) k, sum(CASE WHEN x < 200 THEN 1 ELSE 0 END) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) = 3 AS start FROM {HOURLY}),
 w AS (SELECT ts, (min(CASE WHEN start THEN k END) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - k + 3) / 24.0 AS d FROM s)
-SELECT month(ts)::INT AS month, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS max FROM w WHERE d IS NOT NULL GROUP BY GROUPING SETS ((month), ())""")
+SELECT month(ts)::INT AS month, count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM w WHERE d IS NOT NULL GROUP BY GROUPING SETS ((month), ())""")
 def weather_window(spark, d):
     return windows.window_table(windows.waiting(_hourly(spark, d), "ts", F.col("x") < 200, 3, 1.0), "ts")
 
@@ -326,35 +278,52 @@ def conditional_profiles(spark, d):
     return profile.conditional_profiles(_line(spark, d), LEVELS, {0.0: 60.0, 10.0: 0.2, 20.0: 0.1})
 
 
-CELLS = "(SELECT vec_id, label, (k // 8)::INT AS f, (k % 8)::INT AS d, abs(e::DOUBLE) AS e FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(len(embedding))) AS k FROM embeddings))"
+CELLS = "(SELECT vec_id, label, (k // 8)::INT AS f, (k % 8)::INT AS d, greatest(e::DOUBLE, 0) AS e FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(len(embedding))) AS k FROM embeddings))"
+DEGREES = [45.0 * d for d in range(8)]
+RADIANS = [math.radians(d) for d in DEGREES]
+FREQUENCIES = [round(0.05 * 1.1**f, 9) for f in range(8)]
 
 
 def _cells(spark, d):
     return spectra.cells(_t(spark, d, "embeddings"), ["vec_id", "label"], "embedding", 8)
 
 
-@query(f"SELECT vec_id, f, round(sum(e) * 45.0, 6) AS e FROM {CELLS} GROUP BY 1, 2")
+def _list(values, k: str) -> str:
+    return f"([{', '.join(f'{v!r}::DOUBLE' for v in values)}])[{k} + 1]"
+
+
+TRAPEZOID = _list(quadrature.trapezoid(RADIANS), "d")
+
+
+@query(f"SELECT vec_id, f, round(sum(e * {TRAPEZOID}), 6) AS e FROM {CELLS} GROUP BY 1, 2")
 def spectrum_1d(spark, d):
-    return spectra.one_dimensional(_cells(spark, d), ["vec_id"], 45.0)
+    return spectra.one_dimensional(_cells(spark, d), ["vec_id"], RADIANS)
 
 
-@query(f"SELECT label, f, round(sum(e) * 45.0 / count(*) FILTER (d = 0), 6) AS e FROM {CELLS} GROUP BY GROUPING SETS ((label, f), (f))")
+@query(f"SELECT label, f, round(sum(e * {TRAPEZOID}) / count(*) FILTER (d = 0), 6) AS e FROM {CELLS} GROUP BY GROUPING SETS ((label, f), (f))")
 def spectrum_mean(spark, d):
-    return spectra.mean_spectrum(_cells(spark, d), ["label"], 45.0)
+    return spectra.mean_spectrum(_cells(spark, d), ["label"], RADIANS)
+
+
+AREA = f"{_list(quadrature.simpson(FREQUENCIES), 'f')} * {_list(quadrature.simpson(RADIANS), 'd')}"
+CELL = f"e * {_list(quadrature.widths(FREQUENCIES), 'f')} * {_list(quadrature.widths(RADIANS), 'd')}"
+PARAMETERS = f"""(SELECT vec_id, label, round(4 * sqrt(greatest(sum(e * {AREA}), 0)), 5) AS hm0, round(sum(e * {AREA}) / nullif(sum(e * {AREA} * {_list(FREQUENCIES, 'f')}), 0), 5) AS tm01,
+round((degrees(atan2(sum({CELL} * sin(radians(d * 45.0))), sum({CELL} * cos(radians(d * 45.0))))) + 360) % 360, 5) AS dir,
+round({_list(FREQUENCIES, 'arg_max(f, (e, -f, -d))')}, 6) AS fp, round({_list(DEGREES, 'arg_max(d, (e, -f, -d))')}, 6) AS pdir FROM {CELLS} GROUP BY 1, 2)"""
 
 
-PARAMETERS = f"""(SELECT vec_id, label, round(4 * sqrt(sum(e) * 0.015707963267948967), 5) AS hm0, round(sum(e) / sum(e * (0.05 + f * 0.02)), 5) AS tm01,
-round((degrees(atan2(sum(e * sin(radians(d * 45.0))), sum(e * cos(radians(d * 45.0))))) + 360) % 360, 5) AS dir, round(0.05 + arg_max(f, (e, -f, -d)) * 0.02, 6) AS fp FROM {CELLS} GROUP BY 1, 2)"""
+def _parameters(spark, d):
+    return spectra.parameters(_cells(spark, d), ["vec_id", "label"], FREQUENCIES, DEGREES)
 
 
 @query(f"SELECT * FROM {PARAMETERS}")
 def spectrum_parameters(spark, d):
-    return spectra.parameters(_cells(spark, d), ["vec_id", "label"], 8, 0.05, 0.02)
+    return _parameters(spark, d)
 
 
 @query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY hm0 DESC, vec_id)::INT AS rank FROM {PARAMETERS}) WHERE rank <= 3")
 def spectrum_highest(spark, d):
-    return spectra.highest(spectra.parameters(_cells(spark, d), ["vec_id", "label"], 8, 0.05, 0.02), "vec_id", ["label"])
+    return spectra.highest(_parameters(spark, d), "vec_id", ["label"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(2 * pi() * hs / (9.81 * tz * tz), 6) AS steepness, round(tz, 6) AS tz, round(hs * (sqrt(ln(10800 / tz) / 2) + 0.2886 / sqrt(2 * ln(10800 / tz))), 6) AS hmax,
@@ -413,13 +382,6 @@ def session_peaks(spark, d):
     return found.withColumn("started", F.date_format("started", "yyyy-MM-dd"))
 
 
-SEA = "(SELECT l_quantity / 5 AS hs, 4 + 2 * sqrt(l_quantity / 5) + l_discount * 10 AS tp FROM lineitem)"
-
-
-def _sea(spark, d):
-    return _line(spark, d).select((F.col("l_quantity") / 5).alias("hs"), (4 + 2 * F.sqrt(F.col("l_quantity") / 5) + F.col("l_discount") * 10).alias("tp"))
-
-
 @query(f"SELECT floor(hs / 0.5)::INT AS k, count(*) AS n, round(avg(hs), 6) AS hs, round(avg(ln(tp)), 6) AS mu, round(stddev_pop(ln(tp)), 6) AS sigma FROM {SEA} WHERE hs > 0 AND tp > 0 GROUP BY 1 HAVING count(*) >= 10")
 def joint_intervals(spark, d):
     return joint.intervals(_sea(spark, d), "hs", "tp", 0.5)
@@ -480,30 +442,6 @@ def without_trend(spark, d):
     return water.without_trend(_hourly(spark, d), "ts", "x").withColumn("ts", F.col("ts").cast("string"))
 
 
-# return values from all rows
-
-
-def _all_rows_sql(table: str, ts: str, value: str, key: str, name: str, factor: float) -> str:
-    return f"""WITH g AS (SELECT {key} AS {name}, count(*) n, floor((max(epoch({ts}::TIMESTAMP)) - min(epoch({ts}::TIMESTAMP))) / 86400) + 1 AS days, min({value}) lo, avg({value}) m FROM {table} GROUP BY GROUPING SETS (({name}), ())),
-v AS (SELECT {name}, n, p AS period, ln(CASE WHEN {name} IS NULL THEN 1 ELSE {factor} END * p * 365.2422 * 24 / (days * 24.0 / n)) * (m - lo) + lo AS value FROM g, (SELECT unnest([1, 10, 100]) AS p))
-SELECT v.{name}, round(100.0 * v.n / t.n, 6) AS share, v.period::DOUBLE AS period, round(least(v.value, t.value), 6) AS value FROM v JOIN v t ON t.period = v.period AND t.{name} IS NULL"""
-
-
-@query(_all_rows_sql("orders", "o_orderdate", "o_totalprice", "month(o_orderdate)::INT", "month", 1.0))
-def monthly_return_table(spark, d):
-    return return_tables.monthly(_orders(spark, d), "o_orderdate", "o_totalprice", (1, 10, 100), "EXP")
-
-
-@query(_all_rows_sql("orders", "o_orderdate", "o_totalprice", SECTOR.format(d="o_orderkey * 137.5"), "sector", 6.0))
-def directional_return_table(spark, d):
-    return return_tables.directional(_orders(spark, d), "o_orderdate", "o_totalprice", "dir", (1, 10, 100), "EXP")
-
-
-@query()
-def directional_return_table_weibull(spark, d):
-    return return_tables.directional(_orders(spark, d), "o_orderdate", "o_totalprice", "dir")
-
-
 # hierarchical joint models
 
 
@@ -568,16 +506,6 @@ def wave_influence_depth(spark, d):
     return currents.depth_of_influence(sea, ["hs", "tp"], "hs", "tp", 100.0)
 
 
-PARTS = f"""(SELECT vec_id, f, sum(CASE WHEN sea THEN e ELSE 0 END) AS sea, sum(CASE WHEN sea THEN 0 ELSE e END) AS swell FROM
-(SELECT *, 1.3 * (5 + label) * (0.05 + f * 0.02) * 2 * pi() / 9.81 * cos(radians(d * 45.0 - (vec_id * 137.5) % 360)) > 1 AS sea FROM {CELLS}) GROUP BY 1, 2)"""
-
-
-@query(f"""SELECT vec_id, {', '.join(f"round(4 * sqrt(sum({n}) * 0.015707963267948967), 5) AS hm0_{n}, round(0.05 + arg_max(f, ({n}, -f)) FILTER ({n} > 0) * 0.02, 6) AS fp_{n}" for n in ("sea", "swell"))} FROM {PARTS} GROUP BY 1""")
-def spectrum_partition(spark, d):
-    found = spectra.cells(_t(spark, d, "embeddings").withColumn("wind", F.col("label") + 5.0).withColumn("wind_dir", F.pmod(F.col("vec_id") * F.lit(137.5), F.lit(360.0))), ["vec_id", "wind", "wind_dir"], "embedding", 8)
-    return spectra.wind_sea_and_swell(found, ["vec_id"], "wind", "wind_dir", 8, 0.05, 0.02)
-
-
 # windows for several thresholds, months of every year, shear, water levels, thresholds
 
 
@@ -620,3 +548,6 @@ def threshold_sensitivity(spark, d):
 @query()
 def threshold_sensitivity_fitted(spark, d):
     return extremes.threshold_sensitivity(_daily(spark, d).withColumn("x", F.col("x") / 1e5), "ts", "x", (2, 2.5, 3), 100.0, ("EXP", "GP", "Weibull_2P"))
+
+
+from tidemark.plans import marine  # noqa: E402, F401  registers the queries that build on these
