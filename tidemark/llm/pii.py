@@ -14,9 +14,10 @@ Terms that disclose a kind are sanitised wherever they occur, for they show enti
 a value or a group are sanitised in the documents where they stand near it; documents without entities keep them. Entities
 become their kind in brackets, disclosing numbers <number>, and other disclosing terms go.
 
-Counts cover every document and word, in one pass whose tasks hold about BLOCK words. Which documents hold a term that
-discloses a kind is told by a bounded hash filter (32 MB at most) and settled by an exact join. Terms reach documents by a join
-on the digest of the text, so nothing that grows with the data is broadcast or collected.
+Counts cover every document. A term's documents are first counted among those that hold entities; pairs that fail with these
+alone fail with all, so the words of the whole corpus are counted only for the others' terms. A bounded hash filter (32 MB at
+most) takes them out of the texts, and an exact join settles them. Terms reach documents by a join on the digest of the text, so
+nothing that grows with the data is broadcast or collected.
 
 Defined results: a null text counts as empty and has no spans; sanitising leaves a null text null. Texts may be of any
 length. Repeated rows count as documents, but only different texts count for k, and equal texts have equal spans. Ties don't
@@ -149,7 +150,8 @@ _NEAR = ("value", "group", "kind", "term", "key", "n")
 
 def meetings(given: DataFrame, window: int = WINDOW) -> DataFrame:
     """value, group, kind, term, key (digest of the text), n (its rows): which terms stand near which entities. An empty term
-    stands for the entity alone. given: one column `text`."""
+    stands for the entity alone; an empty kind for the term's standing anywhere in a document with entities. given: one column
+    `text`."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -159,6 +161,7 @@ def meetings(given: DataFrame, window: int = WINDOW) -> DataFrame:
                     key = hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()
                     alone = {(*levels(k, t[a:b]), "") for k, a, b in spans}
                     found.update((*m, key) for m in near_terms(t, spans, window) | alone)
+                    found.update((None, None, "", w, None) for w in set(_word.findall(t.lower())))
             cols = [*zip(*found)] or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(list(found.values()), pa.int64())], _NEAR)
 
@@ -173,26 +176,9 @@ def _levels(met: DataFrame) -> DataFrame:
     return rows.groupBy("level", "entity", "term", "key").agg(F.max("n").alias("n"))
 
 
-def _counted(given: DataFrame, most: int = BLOCK) -> DataFrame:
-    """term, n_term: in how many texts each word of the corpus stands; a task gives its counts out when it holds `most` words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-        for batch in pieces(batches, "text"):
-            for t in batch.column("text").to_pylist():
-                if t:
-                    total.update(set(_word.findall(t.lower())))
-            if len(total) >= most:
-                yield rows()
-                total.clear()
-        yield rows()
-
-    return given.transform(map_arrow, count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-
-
-def _placed(given: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, term: the words of each text that a hash filter takes for one of `terms`."""
+def _hits(given: DataFrame, terms: DataFrame, count: bool) -> DataFrame:
+    """Words of the texts that are one of `terms`: term, n_term (documents with it); or key, term, a row a text and term. A hash filter
+    takes them out of the texts, an exact join settles them."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,13 +190,27 @@ def _placed(given: DataFrame, terms: DataFrame) -> DataFrame:
         words = list(set(_word.findall(text.lower()))) if text else []
         return [words[i] for i in np.flatnonzero(sent.value.hits(_hashes.of(words))).tolist()] if words else []
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Given out when BLOCK words have gathered."""
+        total: Counter = Counter()
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+        for batch in pieces(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                total.update(words_of(t))
+            if len(total) >= BLOCK:
+                yield rows()
+                total.clear()
+        yield rows()
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = {t: words for t in batch.column("text").to_pylist() if (words := words_of(t))}
             keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in found]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, w in zip(keys, found.values()) for _ in w], pa.binary()), pa.array([x for w in found.values() for x in w], pa.string())], ["key", "term"])
 
-    return given.transform(map_arrow, place, "key binary, term string")
+    if count:
+        return given.transform(map_arrow, counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term", "left_semi")
+    return given.transform(map_arrow, placed, "key binary, term string").join(terms, "term", "left_semi").select("key", "term")
 
 
 def _by_chance(expected: Column) -> Column:
@@ -219,10 +219,21 @@ def _by_chance(expected: Column) -> Column:
     return F.when(k > expected, k - expected - k * F.log(k / expected)).otherwise(F.lit(0.0))
 
 
+def _share(n_term: Column, n: int) -> Column:
+    information = F.lit(math.log2(n)) - F.log2("n_entity")
+    return F.when(information > 0, (information + F.log2("n_near") - F.log2(n_term)) / information).otherwise(F.lit(0.0))
+
+
+def _discloses(n_term: Column, n: int, disclosure: float, most: float) -> Column:
+    """Whether a pair discloses if its term stands in n_term documents; true of no greater number if it isn't of this one."""
+    return (_share(n_term, n) >= disclosure) & (_by_chance(F.col("n_entity") * n_term / F.lit(float(n))) <= most)
+
+
 def disclosing_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> tuple[DataFrame, DataFrame]:
     """The pairs that disclose (level, entity, term, n_near, n_entity, n_term, texts, share), and the meetings by level."""
     given = docs.select(quoted(text).alias("text"))
-    met = stored(_levels(stored(meetings(given, window), "pii-met")), "pii-levels")
+    raw = stored(meetings(given, window), "pii-met")
+    met = stored(_levels(raw.where("kind <> ''")), "pii-levels")
     pairs = stored(met.groupBy("level", "entity", "term").agg(F.sum("n").alias("n_near"), F.count(F.lit(1)).alias("texts")), "pii-pairs")
     named, alone = pairs.where("term <> ''"), pairs.where("term = ''").select("level", "entity", F.col("n_near").alias("n_entity"))
     n_kind = F.lit(None).cast("long")  # a kind has a part of all terms, too many for one task of a join
@@ -231,14 +242,13 @@ def disclosing_pairs(docs: DataFrame, text: str = "text", window: int = WINDOW,
     named = named.where("level < 2").join(alone.where("level < 2"), ["level", "entity"]).unionByName(named.where("level = 2").withColumn("n_entity", n_kind))
     n, tested = max(2, docs.count()), max(1, pairs.where("term <> ''").count())
     most = math.log(chance / tested)
-    least = F.col("n_entity") * F.col("n_near") / F.lit(float(n))  # expected meetings if the term stood nowhere else
-    able = stored(named.where(_by_chance(least) <= most), "pii-able")
-    joined = able.join(_counted(given), "term").withColumn("n_term", F.greatest("n_term", "n_near"))
-    information = F.lit(math.log2(n)) - F.log2("n_entity")
-    mutual = information + F.log2("n_near") - F.log2("n_term")
-    joined = joined.withColumn("share", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-    expected = F.col("n_entity") * F.col("n_term") / F.lit(float(n))
-    return stored(joined.where((F.col("share") >= disclosure) & (_by_chance(expected) <= most)), "pii-disclosing"), met
+    # with the documents that hold entities alone, a term already stands in n_least: pairs that fail so fail with all documents
+    inside = raw.where("kind = ''").groupBy("term").agg(F.sum("n").alias("n_least"))
+    able = stored(named.join(inside, "term").where(_discloses(F.greatest("n_least", "n_near"), n, disclosure, most)), "pii-able")
+    counts = _hits(given, able.select("term").distinct(), True)
+    joined = able.join(counts, "term").withColumn("n_term", F.greatest("n_term", "n_near"))
+    passed = joined.withColumn("share", _share(F.col("n_term"), n)).where(_discloses(F.col("n_term"), n, disclosure, most))
+    return stored(passed.drop("n_least"), "pii-disclosing"), met
 
 
 def terms_of_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -247,7 +257,7 @@ def terms_of_texts(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     found = met.where("level < 2 and term <> ''").join(pairs.where("level < 2").select("level", "entity", "term"), ["level", "entity", "term"]).select("key", "term")
     kinds = pairs.where("level = 2").select("term").distinct()
     if kinds.limit(1).count():
-        found = found.union(_placed(docs.select(quoted(text).alias("text")), kinds).join(kinds, "term").select("key", "term"))
+        found = found.union(_hits(docs.select(quoted(text).alias("text")), kinds, False))
     return stored(found.groupBy("key").agg(F.collect_set("term").alias("terms")), "pii-terms")
 
 
