@@ -102,15 +102,17 @@ def return_values(extremes: DataFrame, value: str, distribution: str, periods: S
     return fitted.groupBy(*keys, "period").agg(*aggs)
 
 
-def threshold_sensitivity(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], period: float, names: Sequence[str] = ("EXP",), hours: float = 48) -> DataFrame:
-    """threshold, distribution, n, value: the return value of one period for peaks over each threshold.
+def threshold_sensitivity(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], period: float, names: Sequence[str] = ("EXP",), hours: float = 48, by: Sequence[str] = ()) -> DataFrame:
+    """by, threshold, distribution, n, value: the return value of one period for peaks over each threshold, by site.
 
-    Distributions are fitted to the excesses; the rate is peaks a calendar year from the first to the last year. A task
-    holds the peaks over one threshold. Fewer than three peaks give a null value.
+    Distributions are fitted to the excesses; the rate is peaks a calendar year from the first to the last. A task
+    holds one site's peaks over one threshold. Fewer than three peaks give a null value.
     """
-    years = df.agg((F.max(F.year(ts)) - F.min(F.year(ts)) + 1).alias("_years"))
-    cells = df.select(ts, value).withColumn("threshold", F.explode(F.array(*(F.lit(float(u)) for u in thresholds))))
-    peaks = peaks_over_threshold(cells, ts, value, F.col("threshold"), hours, ["threshold"]).select("threshold", "value")
+    years = df.groupBy(*by).agg((F.max(F.year(ts)) - F.min(F.year(ts)) + 1).alias("_years"))
+    cells = df.select(*by, ts, value).withColumn("threshold", F.explode(F.array(*(F.lit(float(u)) for u in thresholds))))
+    group = [*by, "threshold"]
+    peaks = peaks_over_threshold(cells, ts, value, F.col("threshold"), hours, group).select(*group, "value")
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
 
     def fit(pdf):
         import pandas as pd
@@ -119,9 +121,10 @@ def threshold_sensitivity(df: DataFrame, ts: str, value: str, thresholds: Sequen
         p = np.array([min(float(pdf["_years"].iloc[0]) / (period * n), 1 - 1e-9)])
         over = pdf["value"].to_numpy(float) - u
         found = [float(distributions.return_value(name, over, p)[0]) + u if n > 2 else None for name in names]
-        return pd.DataFrame({"threshold": u, "distribution": list(names), "n": n, "value": pd.Series(found, dtype=float)})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "threshold": u, "distribution": list(names), "n": n, "value": pd.Series(found, dtype=float)})
 
-    return peaks.crossJoin(F.broadcast(years)).groupBy("threshold").applyInPandas(fit, "threshold double, distribution string, n long, value double")
+    rows = peaks.join(years, list(by)) if by else peaks.crossJoin(F.broadcast(years))
+    return rows.groupBy(*group).applyInPandas(fit, f"{kinds}threshold double, distribution string, n long, value double")
 
 
 def annual_return_levels(df: DataFrame, ts: str, value: str, distribution: str = "GEV", periods: Sequence[float] = (50, 100, 1000), one_year: float | None = 1.6, bootstrap: int = 0, level: float = 0.9, seed: int = 1) -> DataFrame:

@@ -63,17 +63,18 @@ def start_probability(df: DataFrame, ts: str, ok: str) -> DataFrame:
     return hourly.union(months.select(F.lit("month"), "k", "p"))
 
 
-def threshold_table(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], durations: Sequence[int], hours: float) -> DataFrame:
-    """threshold, duration_h, days: mean days to the end of an operation of that length with every value below the threshold.
+def threshold_table(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], durations: Sequence[int], hours: float, by: Sequence[str] = ()) -> DataFrame:
+    """by, threshold, duration_h, days: mean days to the end of an operation of that length with every value below the threshold.
 
-    Each threshold is a partition of its own and all durations share its one sort. Rows after the last start don't count.
+    Each site (by) and threshold is a partition of its own, and all durations share its one sort. Rows after the last start don't count.
     """
-    cells = df.select(ts, value).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
-    order = _order(ts, ["threshold"])
+    cells = df.select(*by, ts, value).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    group = [*by, "threshold"]
+    order = _order(ts, group)
     cells = cells.withColumn("_k", F.row_number().over(order)).withColumn("_ok", F.when(F.col(value) < F.col("threshold"), 1).otherwise(0))
     steps = {int(d): max(1, int(d / hours)) for d in durations}
     cells = cells.withColumns({f"_s{d}": F.sum("_ok").over(order.rowsBetween(0, n - 1)) == n for d, n in steps.items()})
     ahead = {f"_w{d}": F.min(F.when(F.col(f"_s{d}"), F.col("_k"))).over(order.rowsBetween(0, Window.unboundedFollowing)) - F.col("_k") + n for d, n in steps.items()}
-    means = cells.withColumns(ahead).groupBy("threshold").agg(*(F.avg(F.col(f"_w{d}") * F.lit(hours / 24)).alias(f"_w{d}") for d in steps))
+    means = cells.withColumns(ahead).groupBy(*group).agg(*(F.avg(F.col(f"_w{d}") * F.lit(hours / 24)).alias(f"_w{d}") for d in steps))
     pairs = F.explode(F.array(*(F.struct(F.lit(d).alias("duration_h"), F.round(f"_w{d}", 6).alias("days")) for d in steps)))
-    return means.select("threshold", pairs.alias("p")).select("threshold", "p.*")
+    return means.select(*group, pairs.alias("p")).select(*group, "p.*")
