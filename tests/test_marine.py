@@ -358,3 +358,29 @@ def test_sites_are_apart(spark):
     b = both.where("x < -0.3")
     found = [sorted(map(str, joins.next_at_or_after(a, b, "ts", "x", "site", days).collect())) for days in (0.2, 3, 10_000)]
     assert found[0] == found[1] == found[2]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from tidemark.sources import text
+
+    rows = text.grid_rows(spark, {"t": [1, 2], "f": [0.1, 0.2, 0.3]}, {"e": np.arange(6).reshape(2, 3), "wind": [7.0, 8.0]})
+    assert sorted(map(tuple, rows.collect())) == [(t, f, 3 * i + j, w) for i, (t, w) in enumerate(((1, 7.0), (2, 8.0))) for j, f in enumerate((0.1, 0.2, 0.3))]
+    for comment in (None, "heights"):
+        path = str(tmp_path / str(comment))
+        text.write_csv(spark.createDataFrame([(1, 2.345, "a"), (2, None, "b")], "k int, x double, s string").coalesce(1), path, comment, "%.2f")
+        lines = sorted(r.value for r in spark.read.text(path).collect())
+        assert "1,2.35,a" in lines or "1,2.34,a" in lines
+
+
+def test_more_formulas(spark, sea):
+    m = lonowe.fit(sea, "ts", "hs", "tp", spread=False)[None]
+    row = spark.range(1).select(*physics.period_given_height(F.lit(3.0), (m.a1, m.a2, m.a3), (m.b1, m.b2, m.b3)), physics.weibull_exceedance(F.lit(3.0), 1.5, 1.0, 2.0)).first()
+    assert tuple(row)[:3] == pytest.approx([float(v[0]) for v in m.period_given(np.array([3.0]))]) and row[3] == pytest.approx(math.exp(-1))
+    currents = crests.wave_induced_currents(sea, "ts", "hs", "tp", 10.0).toPandas()
+    assert len(currents) == 10 and (currents.us_p5 <= currents.us_p95).all()
+    assert lonowe.steepness_curve(sea, "ts", "hs", "tp", 100).agg(F.max("hs")).first()[0] <= m.return_height(100) + 0.5
+    assert dist.fit_generalised_gamma(2 * RNG.gamma(2.0, 1, 30_000) ** (1 / 1.5))[1:] == pytest.approx((1.5, 2.0), rel=0.3)
+    ranks, draws = relational.fitted_non_exceedance(sea, "hs", draws=1000)
+    assert ranks.agg(F.max("rank")).first()[0] == 100.0 and draws.count() == 1000
+    model = hierarchical.fit(sea, ["hs", "tp"], lambda: hierarchical.PRESETS["hs_tp"])
+    assert model.parameter_rows() == hierarchical.fit(sea, ["hs", "tp"]).parameter_rows()

@@ -220,6 +220,22 @@ def fit_exponentiated_weibull(x: np.ndarray, w: np.ndarray | None = None, delta:
     return (float(delta), *map(float, found)) if delta else tuple(map(float, found))
 
 
+def fit_generalised_gamma(x: np.ndarray, w: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Exponent a, shape c and scale of the density proportional to x ** (a c - 1) exp(-(x / scale) ** c), by maximum likelihood."""
+    w = _weights(x, w)
+    x, w = x[x > 0], w[x > 0]
+    c, scale = fit_weibull2(x, w)
+    logs = float((w * np.log(x)).sum())
+
+    def loss(p: np.ndarray) -> float:
+        a, k, s = p
+        if min(a, k, s) <= 0 or a > 1e4:
+            return 1e12
+        return a * k * math.log(s) + math.lgamma(a) - math.log(k) - (a * k - 1) * logs + float((w * (x / s) ** k).sum())
+
+    return tuple(map(float, minimise(loss, [1.0, c, scale], 2000)))
+
+
 #: name -> (shape, location, scale) of values x with weights w; a shape that a distribution lacks is None.
 FITS = {
     "EXP": lambda x, w=None: (None, *fit_exponential(x, w)),

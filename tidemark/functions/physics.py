@@ -144,3 +144,19 @@ CREST_MARGIN = 1.135  # of the greatest crest over the one with probability 0.85
 def greatest_crest(hs: Column, tm: Column, depth: float, sea_state: str = "long") -> Column:
     """Greatest crest in three hours, with the margin that model tests show."""
     return CREST_MARGIN * crest(hs, tm, depth, sea_state)
+
+
+def weibull_exceedance(x: Column, shape: float, loc: float, scale: float) -> Column:
+    """Chance that a Weibull variable exceeds x; 1 up to the location."""
+    return F.when(x <= loc, F.lit(1.0)).otherwise(F.exp(-F.pow((x - loc) / scale, F.lit(float(shape)))))
+
+
+def period_given_height(hs: Column, a: tuple[float, float, float], b: tuple[float, float, float]) -> tuple[Column, Column, Column]:
+    """Lognormal period at a height: the mean less 1.645 deviations, the mean, and the mean plus 1.645 deviations.
+
+    Its logarithm has the mean a1 + a2 hs ** a3 and the variance b1 + b2 exp(-b3 hs).
+    """
+    mu, var = a[0] + a[1] * F.pow(hs, F.lit(float(a[2]))), b[0] + b[1] * F.exp(-b[2] * hs)
+    mean = F.exp(mu + var / 2)
+    std = mean * F.sqrt(F.expm1(var))
+    return mean - 1.645 * std, mean, mean + 1.645 * std

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import physics
 from tidemark.functions.series import clean
-from tidemark.operators import conditional, lonowe, return_tables
+from tidemark.operators import conditional, currents, lonowe, return_tables
 
 HIGHEST_PERIOD = 0.9  # of the highest wave, as a share of the peak period (fixed value)
 
@@ -42,10 +42,17 @@ def directional_highest_waves(df: DataFrame, ts: str, hs: str, tp: str, directio
     rows = rows.join(F.broadcast(top), "period").withColumn("hmax", F.when(F.col("hmax").isNotNull(), F.least("hmax", "_top"))).drop("_top")
     if model is None:
         return rows.withColumns({f"t_{c}": F.lit(None).cast("double") for c in ("p5", "mean", "p95")})
-    mu, var = model.a1 + model.a2 * F.pow("hs", F.lit(model.a3)), model.b1 + model.b2 * F.exp(-model.b3 * F.col("hs"))
-    mean = F.exp(mu + var / 2)
-    std = mean * F.sqrt(F.expm1(var))
-    return rows.withColumns({"t_p5": HIGHEST_PERIOD * (mean - 1.645 * std), "t_mean": HIGHEST_PERIOD * mean, "t_p95": HIGHEST_PERIOD * (mean + 1.645 * std)})
+    found = physics.period_given_height(F.col("hs"), (model.a1, model.a2, model.a3), (model.b1, model.b2, model.b3))
+    return rows.withColumns({f"t_{c}": HIGHEST_PERIOD * t for c, t in zip(("p5", "mean", "p95"), found)})
+
+
+def wave_induced_currents(df: DataFrame, ts: str, hs: str, tp: str, top: float = 20.0, depth: float = 200.0, level: float = 50.0) -> DataFrame:
+    """centre (height, in steps of 1 m) and, for the model's period at 5 %, in the mean and at 95 %: tp_, us_ (velocity at the level)
+    and tu_ (its period)."""
+    rows = lonowe.period_given_height(df, ts, hs, tp, 1.0, top).select("centre", *(F.col(f"{c}_model").alias(f"tp_{c}") for c in ("p5", "mean", "p95"))).withColumn("_z", F.lit(level))
+    for c in ("p5", "mean", "p95"):
+        rows = currents.with_wave_current(rows, "centre", f"tp_{c}", depth, "_z").withColumnsRenamed({"us": f"us_{c}", "tu": f"tu_{c}"})
+    return rows.drop("_z")
 
 
 def _tide(df: DataFrame, tide: str) -> DataFrame:

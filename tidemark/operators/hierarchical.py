@@ -9,7 +9,7 @@ curves are fitted to the interval parameters. Contour points come from spark.ran
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -254,9 +254,9 @@ class JointModel:
         return rows
 
 
-def fit(df: DataFrame, names: list[str], model: str | tuple[Dimension, ...] = "hs_tp") -> JointModel:
-    """The model of the columns `names`; rows with a missing value don't count."""
-    dimensions = PRESETS[model] if isinstance(model, str) else model
+def fit(df: DataFrame, names: list[str], model: str | tuple[Dimension, ...] | Callable[[], tuple[Dimension, ...]] = "hs_tp") -> JointModel:
+    """The model of the columns `names`: a preset, its variables, or a function that gives them. Rows with a missing value don't count."""
+    dimensions = PRESETS[model] if isinstance(model, str) else model() if callable(model) else model
     if len(dimensions) != len(names):
         raise ValueError(f"the model has {len(dimensions)} variables")
     df = clean(df.select(*names), *names).dropna()

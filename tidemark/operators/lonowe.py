@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import moments
-from tidemark.functions.corrections import spread_period
+from tidemark.functions.corrections import spread_period, steepness_limit
 from tidemark.functions.series import clean, sector
 
 YEAR_HOURS, ONE_YEAR = 365.2422 * 24, 1.5873
@@ -256,3 +256,11 @@ def percentile_curve(df: DataFrame, ts: str, hs: str, tp: str, percentile: float
     h = model.grid()[model.grid() < model.return_height(years)] if model else np.empty(0)
     rows = list(zip(map(float, h), map(float, model.period_quantile(h, percentile / 100)))) if len(h) else []
     return _frame(df.sparkSession, rows, "hs double, tp double")
+
+
+def steepness_curve(df: DataFrame, ts: str, hs: str, tp: str, years: float, points: int = 2000, longest: float = 40.0) -> DataFrame:
+    """tp, hs: the greatest height at each period by the steepness limit, up to the height of the return period."""
+    model = fit(df, ts, hs, tp)[None]
+    t = F.lit(0.01) + F.col("id") * F.lit((longest - 0.01) / (points - 1))
+    rows = df.sparkSession.range(points).select(t.alias("tp")).withColumn("hs", steepness_limit(F.col("tp"), g=9.80665))
+    return rows.where(F.col("hs") <= F.lit(model.return_height(years) if model else math.nan))

@@ -125,3 +125,11 @@ def runs(df: DataFrame, number: str, by: Sequence[str] = ()) -> DataFrame:
     island = F.col(number) - F.row_number().over(Window.partitionBy(*by).orderBy(number))
     found = rows.withColumn("_i", island).groupBy(*by, "_i").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.sort_array(F.collect_list(number)).alias("members"))
     return found.drop("_i")
+
+
+def fitted_non_exceedance(df: DataFrame, value: str, step: float = 0.5, draws: int = 1_000_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The percentile ranks of multiples of step up to the greatest value, and draws of the fitted Weibull distribution with their
+    own non-exceedance."""
+    top = clean(df, value).agg(F.max(value)).first()[0] or 0.0
+    grid = [i * step for i in range(int(top / step) + 2)]
+    return percentile_rank(df, value, grid), fitted_draws(df, value, draws, seed)

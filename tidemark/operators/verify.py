@@ -52,5 +52,5 @@ def regression_lines(df: DataFrame, x: str, y: str, sx: float = 1.0, sy: float =
     p, q = sx * sx, sy * sy
     root = F.sqrt(F.pow(q * sxx, 2.0) - 2 * sxx * syy * p * q + F.pow(p * syy, 2.0) + 4 * F.pow(sxy, 2.0) * p * q)
     slope = (p * syy - q * sxx + root) / (2 * sxy * p)
-    found = {"slope": F.regr_slope(b, a), "intercept": F.regr_intercept(b, a), "r2": F.regr_r2(b, a), "mean_slope": F.avg(b) / F.avg(a), "ev_slope": slope}
+    found = {"slope": F.regr_slope(b, a), "intercept": F.regr_intercept(b, a), "r2": F.regr_r2(b, a), "mean_slope": F.avg(b) / F.avg(a), "ev_slope": slope, "ev_intercept": F.avg(b) - slope * F.avg(a)}
     return clean(df, x, y).agg(*(F.round(c, 6).alias(n) for n, c in found.items()))

@@ -125,6 +125,8 @@ _add("return_crests", lambda s, d: crests.return_crests(_waves(s, d), *_W))
 _add("directional_highest_waves", lambda s, d: crests.directional_highest_waves(_waves(s, d), *_W, "dir"))
 _add("total_water_levels", lambda s, d: crests.total_water_levels(_waves(s, d), *_W, "surge", "tide"))
 _add("surge_at_return_heights", lambda s, d: crests.surge_at_return_heights(_waves(s, d), *_W, "surge", "tide"))
+_add("wave_induced_currents", lambda s, d: crests.wave_induced_currents(_waves(s, d), *_W))
+_add("steepness_curve", lambda s, d: lonowe.steepness_curve(_waves(s, d), *_W, 100))
 _add("height_at_return_wind", lambda s, d: conditional.at_return_values(_waves(s, d), "ts", "hs", "wind", "height_on_wind", 2.0, 40.0))
 _add("current_at_return_height", lambda s, d: conditional.at_return_values(_waves(s, d), "ts", "wind", "hs", "current_on_height", 2.0, 20.0, (1, 10), 0.0))
 _add("surge_coefficients", lambda s, d: conditional.coefficient_table(conditional.given_classes(_waves(s, d), "surge", "hs", 0.5, 12.0), "surge_on_height"))

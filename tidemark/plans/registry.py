@@ -138,7 +138,7 @@ def quantile_pairs(spark, d):
 
 
 @query(f"""SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, round(avg(y) / avg(x), 6) AS mean_slope,
-round((var_pop(y) - var_pop(x) + sqrt(var_pop(x) ** 2 - 2 * var_pop(x) * var_pop(y) + var_pop(y) ** 2 + 4 * covar_pop(x, y) ** 2)) / (2 * covar_pop(x, y)), 6) AS ev_slope FROM {PAIR}""")
+round((var_pop(y) - var_pop(x) + sqrt(var_pop(x) ** 2 - 2 * var_pop(x) * var_pop(y) + var_pop(y) ** 2 + 4 * covar_pop(x, y) ** 2)) / (2 * covar_pop(x, y)), 6) AS ev_slope, round(avg(y) - avg(x) * (var_pop(y) - var_pop(x) + sqrt(var_pop(x) ** 2 - 2 * var_pop(x) * var_pop(y) + var_pop(y) ** 2 + 4 * covar_pop(x, y) ** 2)) / (2 * covar_pop(x, y)), 6) AS ev_intercept FROM {PAIR}""")
 def regression_lines(spark, d):
     return verify.regression_lines(_pair(spark, d), "x", "y")
 

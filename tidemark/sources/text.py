@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +30,30 @@ def table_to_csv(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s*&\s*", ","), r"\\%", "%"))
 
 
-def write_csv(df: DataFrame, path: str, comment: str | None = None) -> None:
-    """A small result table as one CSV file, with an optional comment as first column name's prefix row."""
+def write_csv(df: DataFrame, path: str, comment: str | None = None, float_format: str | None = None) -> None:
+    """A small result table as one CSV file, with an optional comment line first and a format (such as %.2f) for fractions."""
+    fractions = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+    cell = lambda c: F.format_string(float_format, F.col(f"`{c}`")) if float_format and c in fractions else F.col(f"`{c}`").cast("string")
+    rows = df.select(*(F.when(F.col(f"`{c}`").isNotNull(), cell(c)).alias(c) for c in df.columns)) if float_format else df
     if comment:
-        lines = df.select(F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
+        lines = rows.select(F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns)).alias("value"))
         head = df.sparkSession.createDataFrame([(f"# {comment}",), (",".join(df.columns),)], "value string").coalesce(1)
         head.union(lines).coalesce(1).write.text(path)
     else:
-        df.coalesce(1).write.csv(path, header=True)
+        rows.coalesce(1).write.csv(path, header=True)
+
+
+def grid_rows(spark: SparkSession, axes: dict[str, Sequence], variables: dict[str, object]) -> DataFrame:
+    """A gridded dataset in memory as rows: a row a cell, with a column an axis (in order) and one a variable.
+
+    variables: arrays of the shape of all axes, or of the first ones (repeated along the others). What a driver holds in memory
+    is bounded by it; larger grids are read from Parquet in this form.
+    """
+    names = list(axes)
+    shape = tuple(len(v) for v in axes.values())
+    parts = np.meshgrid(*axes.values(), indexing="ij")
+    table = {n: p.ravel() for n, p in zip(names, parts)}
+    for name, values in variables.items():
+        array = np.asarray(values)
+        table[name] = np.broadcast_to(array.reshape(array.shape + (1,) * (len(shape) - array.ndim)), shape).ravel()
+    return spark.createDataFrame(pd.DataFrame(table))
