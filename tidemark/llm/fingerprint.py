@@ -88,18 +88,19 @@ class Sampler:
             least = [self.rows(terms[i : i + AT_ONCE]).min(axis=0) for i in range(0, len(terms), AT_ONCE)]
             return (np.min(least, axis=0) & _LOW).astype(np.uint16)
         place = self.place
-        new = [t for t in terms if t not in place]
-        if len(place) + len(new) > self.most:
-            place.clear()
-            new = terms
-        if new:
+        at = list(map(place.get, terms))
+        if None in at:
+            new = [t for t, i in zip(terms, at) if i is None]
+            if len(place) + len(new) > self.most:
+                place.clear()
+                new = terms
             first = len(place)
             if first + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.zeros((max(len(self.table), first + len(new) - len(self.table)), self.samples), np.uint64)))
             self.table[first : first + len(new)] = self.rows(new)
             place.update(zip(new, range(first, first + len(new))))
-        at = np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))
-        return (self.table[at].min(axis=0) & _LOW).astype(np.uint16)
+            at = list(map(place.__getitem__, terms))
+        return (self.table.take(at, axis=0).min(axis=0) & _LOW).astype(np.uint16)
 
 
 def text_of(signature: np.ndarray) -> str:
