@@ -6,8 +6,8 @@ that it passes. Documents are ordered by size class (steps of 1/16 of a power of
 so that the copies spread evenly over the sizes and a source's words come within about one long document of its target.
 
 The running sum needs no task that sees a whole source: rows are counted by (source, size class, a hex digit of the digest
-of the id and one of that of the text), at most 256 * 500 counts a source however long the tables are, these counts are summed
-up in order, and rows are numbered only within such a bucket. So an id that many rows share is split by their texts; rows
+of the id and one of that of the text), at most 256 * 500 counts a source however long the tables are. These counts are summed
+up in order, by class and within each class, and rows are numbered only within such a bucket. So an id that many rows share is split by their texts; rows
 equal in both are numbered together by size class. The targets take one row a source in one task.
 
 Defined results: a null text has size 0 and so has one without words; texts may be of any length; a null source is a source
@@ -81,8 +81,9 @@ def _copies(docs: DataFrame, text: str, source: str, key: str, weights: tuple[in
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("place", F.concat(F.substring("digest", 1, 1), F.substring("other", 1, 1)))
     bucket = ["of", "class", "place"]
     counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
-    starts = Window.partitionBy("of").orderBy("class", "place").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(starts), F.lit(0))).drop("n")
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.groupBy("of", "class").agg(F.sum("n").alias("n")).select("of", "class", before(["of"], "class").alias("first"))
+    counts = counts.withColumn("start", before(["of", "class"], "place")).join(firsts, ["of", "class"]).withColumn("start", F.col("first") + F.col("start")).drop("n", "first")
     counts = counts.join(totals.select(F.struct("source").alias("of"), "source_size", "target", "rate"), "of")
     within = Window.partitionBy(*bucket).orderBy("digest", "size", "other")
     rows = rows.withColumn("rank", F.row_number().over(within)).join(counts, bucket)
