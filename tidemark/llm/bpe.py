@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from tidemark.llm.common import CACHES, map_text
 
-MOST_WORDS, MOST_BYTES, MOST_PAIRS = 200_000, 16 << 20, 100_000  # whose encodings a worker keeps, their size, and token pairs
+MOST_WORDS, MOST_BYTES, MOST_PAIRS = 250_000, 16 << 20, 300_000  # whose encodings a worker keeps (and as many of before), their size, and token pairs
 #: Fixed values of Unicode 16: letters and numbers that Unicode 15.1 doesn't have, white space, and lower case that is new.
 _LETTERS_16 = "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
 _NUMBERS_16 = "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
@@ -95,6 +95,7 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.pairs: dict[int, bool] = {}  # token numbers, the first one times 2**32
         self.codes: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation of codes before
         self.held = 0  # bytes of codes, about
         self.ranks: dict[tuple[str, str], int] = {}
         for i, m in enumerate(model["merges"]):
@@ -115,6 +116,7 @@ class Bpe:
         self.longest = max(len(t) for t in self.vocab)
         self.good = {t: i for t, i in self.vocab.items() if self.merged(self.start(t)) == [t]}  # those that merging can reach
         self.sizes = [len(t) if t else 0 for t in self.names.tolist()]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.sizes))]
 
     # words
 
@@ -123,13 +125,16 @@ class Bpe:
 
     def merged(self, parts: list[str]) -> list[str]:
         """Merges by rank, first place first: the definition that states are checked by, on a few symbols only."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(((ranks.get(p, 1 << 40), i) for i, p in enumerate(zip(parts, parts[1:]))))
-            if best[0] == 1 << 40:
-                break
-            i = best[1]
+        rank, none = self.ranks.get, 1 << 40
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def start(self, token: str) -> list[str]:
@@ -148,7 +153,8 @@ class Bpe:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes distinct words; each trie node on their paths once."""
-        last, end, sizes, codes = self._last, self.end, self.sizes, self.codes
+        last, end, sizes, packed, codes = self._last, self.end, self.sizes, self.packed, self.codes
+        good, known, longest, held = self.good.get, self.pairs.get, self.longest, self.held
         path = ""
         states: list[int] = []  # the last token of each prefix of path
         for original, word in sorted(((w, self.symbols(w)) for w in words), key=lambda p: p[1]):
@@ -158,28 +164,39 @@ class Bpe:
                 shared += 1
             del states[shared:]
             path = word[:body]
-            for i in range(shared, body):
-                states.append(last(word, i + 1, "", states))
+            for i in range(shared, body):  # as _last() does, in line for speed
+                stop = i + 1
+                token = good(word[:stop]) if stop <= longest else None
+                if token is None:
+                    for start in range(i, max(0, stop - longest - 1), -1):
+                        if (token := good(word[start:stop])) is not None:
+                            before = states[start - 1]
+                            if (fits := known(before << 32 | token)) or fits is None and self.can_follow(before, token):
+                                break
+                    else:
+                        raise ValueError(f"no token of the vocabulary ends {word[:stop]!r}")
+                states.append(token)
             at, tokens = len(word), []
             if end:
                 tokens.append(token := last(word, at, end, states))
                 at -= sizes[token] - len(end)
             while at:
-                tokens.append(states[at - 1])
-                at -= sizes[states[at - 1]]
+                tokens.append(token := states[at - 1])
+                at -= sizes[token]
             tokens.reverse()
-            codes[original] = code = b"".join([t.to_bytes(4, "little") for t in tokens])
-            self.held += len(word) + len(code)
+            codes[original] = code = b"".join([packed[t] for t in tokens])
+            held += len(word) + len(code)
+        self.held = held
 
     def _last(self, word: str, stop: int, end: str, states: list[int]) -> int:
-        """The last token of the encoding of word[:stop] (+ end). Only one can be right, so short ones are tried first."""
-        good, pairs = self.good, self.pairs
-        if (token := good.get(word[:stop] + end)) is not None:
+        """The last token of the encoding of word[:stop] + end. Only one can be right, so short ones are tried first."""
+        good, known = self.good.get, self.pairs.get
+        if (token := good(word[:stop] + end)) is not None:
             return token
         for start in range(stop - 1, max(0, stop - self.longest - 1), -1):
-            if (token := good.get(word[start:stop] + end)) is not None:
+            if (token := good(word[start:stop] + end)) is not None:
                 before = states[start - 1]
-                if (known := pairs.get(before << 32 | token)) or known is None and self.can_follow(before, token):
+                if (fits := known(before << 32 | token)) or fits is None and self.can_follow(before, token):
                     return token
         raise ValueError(f"no token of the vocabulary ends {word[:stop]!r}")
 
@@ -210,14 +227,18 @@ class Bpe:
         new = set(chain.from_iterable(s for parts in cut for s in parts if not isinstance(s, str)))
         missing = new - self.codes.keys()
         if len(self.codes) + len(missing) > MOST_WORDS or self.held > MOST_BYTES:
-            self.clear()
+            self.old, self.codes, self.held = self.codes, {}, 0
             missing = new
-        self.learn(missing)
+        kept = missing & self.old.keys()  # words in use outlive the others
+        self.codes.update((w, self.old[w]) for w in kept)
+        self.held += sum(len(w) + len(self.old[w]) for w in kept)
+        self.learn(missing - kept)
         code = self.codes.__getitem__
         return [b"".join(self.special[s].to_bytes(4, "little") if isinstance(s, str) else b"".join(map(code, s)) for s in parts) for parts in cut]
 
     def clear(self) -> None:
         self.codes.clear()
+        self.old.clear()
         self.pairs.clear()
         self.held = 0
 
