@@ -186,29 +186,27 @@ def _lengths(column: pa.Array) -> np.ndarray:
 class HashFilter:
     """A set of 64-bit hashes as a bit table: no member is missed, others pass with probability members / bits.
 
-    The table has 64 bits a member, 2**22 bits (512 KB) at least and 2**28 (32 MB) at most, whatever the input's size. It only
-    decides which rows take the exact path; the exact join that follows settles them.
+    The table has 64 bits a member, so others pass alike at every size, up to 2**28 bits (32 MB) whatever the input's size; and
+    `least` bits at least. It only decides which rows take the exact path; the exact join that follows settles them.
     """
 
-    LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+    EACH, MOST_BITS = 64, 1 << 28
 
-    def __init__(self, table: np.ndarray) -> None:
-        self.table, self.mask = table, np.uint64(len(table) * 64 - 1)
+    def __init__(self, table: np.ndarray, bits: int) -> None:
+        self.table, self.bits = table, bits
 
     @classmethod
-    def build(cls, hashes: DataFrame, column: str) -> HashFilter:
-        """hashes: a LONG column of hashes whose low bits are uniform. Words of the table are OR-ed on the executors."""
-        n = hashes.count()
-        bits = cls.LEAST_BITS
-        while bits < min(64 * n, cls.MOST_BITS):
-            bits *= 2
-        place = F.col(column).bitwiseAND(bits - 1)
+    def build(cls, hashes: DataFrame, column: str, least: int = 1 << 10) -> HashFilter:
+        """hashes: a LONG column of evenly spread hashes. Words of the table are OR-ed on the executors."""
+        bits = max(least, min(cls.EACH * hashes.count(), cls.MOST_BITS))
+        place = F.pmod(F.col(column), F.lit(bits))
         words = hashes.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("b"))
         got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        table = np.zeros(bits // 64, np.uint64)
+        table = np.zeros(bits // 64 + 1, np.uint64)
         table[np.asarray(got["w"]).astype(np.int64)] = np.asarray(got["b"]).astype(np.int64).view(np.uint64)
-        return cls(table)
+        return cls(table, bits)
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes.astype(np.uint64, copy=False) & self.mask
-        return (self.table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+        """hashes: 64 bits each, as signed or unsigned numbers."""
+        place = np.ascontiguousarray(hashes).view(np.int64) % self.bits
+        return (self.table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0

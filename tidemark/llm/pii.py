@@ -184,7 +184,7 @@ def _hits(given: DataFrame, terms: DataFrame, count: bool) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_hashes.of(batch.column("term").to_pylist()).view(np.int64))], ["low"])
 
-    sent = given.sparkSession.sparkContext.broadcast(HashFilter.build(terms.transform(map_arrow, hashed, "low long"), "low"))
+    sent = given.sparkSession.sparkContext.broadcast(HashFilter.build(terms.transform(map_arrow, hashed, "low long"), "low", 1 << 22))
 
     def words_of(text: str | None) -> list[str]:
         words = list(set(_word.findall(text.lower()))) if text else []
