@@ -19,6 +19,7 @@ names; those added by mix() replace columns of the same name, mixed() adds none.
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,13 +72,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
-def _copies(docs: DataFrame, text: str, source: str, key: str, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
-    """row (all columns of docs) and ADDED."""
+def _copies(docs: DataFrame, keep: Sequence[str], text: str, source: str, key: str, weights: tuple[int, ...], most: float, seed: int) -> DataFrame:
+    """row (the columns of docs in `keep`) and ADDED."""
     size = words(quoted(text))
     narrow = docs.select(quoted(source).alias("source"), size.alias("size"))
     totals = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     digest, other = F.md5(F.coalesce(quoted(key).cast("string"), F.lit(""))), F.md5(F.coalesce(quoted(text), F.lit("")))
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.struct(quoted(source).alias("source")).alias("of"), size.alias("size"), digest.alias("digest"), other.alias("other"))
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(quoted(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("row"), F.struct(quoted(source).alias("source")).alias("of"), size.alias("size"), digest.alias("digest"), other.alias("other"))
     rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("place", F.concat(F.substring("digest", 1, 1), F.substring("other", 1, 1)))
     bucket = ["of", "class", "place"]
     counts = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
@@ -92,21 +93,23 @@ def _copies(docs: DataFrame, text: str, source: str, key: str, weights: tuple[in
     return rows.withColumn("copies", (passed(rank) - passed(rank - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size")).select("row", *ADDED)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (copies * size)."""
-    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
-    return _copies(docs, text, source, key, weights, most, seed).select(*kept, *ADDED)
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs (or its columns in `keep`) with size, source_size, target, copies and taken (copies * size)."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    found = _copies(docs, kept, text, source, key, weights, most, seed)
+    return found.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)), *ADDED)
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = SEED) -> DataFrame:
     """The mixture itself: docs' rows, each as often as it has copies."""
-    taken = _copies(docs, text, source, key, weights, most, seed).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    taken = _copies(docs, docs.columns, text, source, key, weights, most, seed).where("copies > 0")
+    copies = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 OP2_SQL = rf"""
