@@ -41,14 +41,14 @@ def directional_non_exceedance(df: DataFrame, value: str, direction: str, step:
     return shares.groupingSets([[F.col("sector"), F.col("level")], [F.col("level")]], F.col("sector"), F.col("level")).agg(F.round(F.sum("pct"), 6).alias("pct"))
 
 
-def hours_below(df: DataFrame, ts: str, value: str, thresholds: Sequence[float]) -> DataFrame:
+def hours_below(df: DataFrame, ts: str, value: str, thresholds: Sequence[float], digits: int = 6) -> DataFrame:
     """Hours a year strictly below each threshold: rows below times the mean step. All thresholds in one scan."""
     df = clean(df, value).where(F.col(value).isNotNull())
     step = (F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))) / (F.count(F.lit(1)) - 1) / 3600
     hours = df.agg(step.alias("step"))
     counted = df.groupBy(F.year(ts).alias("year")).agg(*(F.count_if(F.col(value) < t).alias(f"t{i}") for i, t in enumerate(thresholds)))
     pairs = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("n")) for i, t in enumerate(thresholds))))
-    return counted.select("year", pairs.alias("p")).crossJoin(F.broadcast(hours)).select("year", "p.threshold", F.round(F.col("p.n") * F.col("step"), 6).alias("hours"))
+    return counted.select("year", pairs.alias("p")).crossJoin(F.broadcast(hours)).select("year", "p.threshold", F.round(F.col("p.n") * F.col("step"), digits).alias("hours"))
 
 
 def tidal_levels(df: DataFrame, value: str) -> DataFrame:
@@ -59,7 +59,7 @@ def tidal_levels(df: DataFrame, value: str) -> DataFrame:
 
 def hours_below_over_years(df: DataFrame, ts: str, value: str, thresholds: Sequence[float]) -> DataFrame:
     """threshold, min, mean, max: hours_below() over the years."""
-    return hours_below(df, ts, value, thresholds).groupBy("threshold").agg(*(F.round(f("hours"), 4).alias(n) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))))
+    return hours_below(df, ts, value, thresholds, 12).groupBy("threshold").agg(*(F.round(f("hours"), 6).alias(n) for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))))
 
 
 def monthly_statistics(df: DataFrame, ts: str, value: str, stats: Sequence[str] = ("min", "5%", "mean", "95%", "max")) -> DataFrame:

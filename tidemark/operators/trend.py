@@ -106,6 +106,6 @@ def regression_table(df: DataFrame, ts: str, value: str, stat: str = "mean", con
 def yearly_by_level(df: DataFrame, ts: str, levels: dict[float, str], stat: str = "mean") -> DataFrame:
     """year (null: all), level, value: one statistic of every level's column; levels without values in some year are left out."""
     rows = clean(long_form(df.withColumn("year", F.year(ts)), ["year"], levels), "value")
-    found = grouped(rows, [["year", "level"], ["level"]], "value", (stat,)).withColumnRenamed(label(stat), "value")
+    found = grouped(rows, [["year", "level"], ["level"]], "value", (stat,), 9).withColumnRenamed(label(stat), "value")
     whole = found.groupBy("level").agg(F.bool_and(F.col("value").isNotNull()).alias("whole")).where("whole").select("level")
     return found.join(F.broadcast(whole), "level").select("year", "level", "value")

@@ -176,7 +176,7 @@ def regression_bounds(spark, d):
 LONG = "(SELECT l_shipdate, unnest([0.0, 10.0, 20.0])::DOUBLE AS level, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem)"
 
 
-@query(f"SELECT year(l_shipdate)::INT AS year, level, round(avg(value), 6) AS value FROM {LONG} GROUP BY GROUPING SETS ((1, 2), (2))".replace("(1, 2), (2)", "(year, level), (level)"))
+@query(f"SELECT year(l_shipdate)::INT AS year, level, round(avg(value), 9) AS value FROM {LONG} GROUP BY GROUPING SETS ((1, 2), (2))".replace("(1, 2), (2)", "(year, level), (level)"))
 def yearly_by_level(spark, d):
     return trend.yearly_by_level(_line(spark, d), "l_shipdate", LEVELS)
 
@@ -365,7 +365,7 @@ def wave_numbers(spark, d):
 
 @query(f"""WITH x AS (SELECT * FROM {DAILY}), h AS (SELECT (epoch(max(ts)) - epoch(min(ts))) / (count(*) - 1) / 3600 AS step FROM x), t AS (SELECT unnest([100000.0, 200000.0, 300000.0])::DOUBLE AS threshold),
 y AS (SELECT year(ts) AS year, threshold, count(*) FILTER (x < threshold) * any_value(step) AS hours FROM x, h, t GROUP BY 1, 2)
-SELECT threshold, round(min(hours), 4) AS min, round(avg(hours), 4) AS mean, round(max(hours), 4) AS max FROM y GROUP BY 1""")
+SELECT threshold, round(min(hours), 6) AS min, round(avg(hours), 6) AS mean, round(max(hours), 6) AS max FROM y GROUP BY 1""")
 def hours_below_over_years(spark, d):
     return exceedance.hours_below_over_years(_daily(spark, d), "ts", "x", (100000, 200000, 300000))
 
@@ -465,10 +465,10 @@ def consecutive_runs(spark, d):
 _add("fitted_draws", lambda s, d: relational.fitted_draws(_line(s, d), "l_quantity", 10_000).agg(F.count("*").alias("n"), F.avg("value").alias("mean")))
 
 
-@query("SELECT l_shipdate::VARCHAR AS ts, level, sqrt(u * u + v * v) AS value FROM (SELECT l_shipdate, unnest([0.0, 2.5])::DOUBLE AS level, unnest([l_quantity, l_discount]) AS u, unnest([l_tax, l_tax]) AS v FROM lineitem)")
+@query("SELECT l_shipdate::VARCHAR AS ts, level, round(sqrt(u * u + v * v), 9) AS value FROM (SELECT l_shipdate, unnest([0.0, 2.5])::DOUBLE AS level, unnest([l_quantity, l_discount]) AS u, unnest([l_tax, l_tax]) AS v FROM lineitem)")
 def speed_by_depth(spark, d):
     rows = _line(spark, d).select("l_shipdate", F.col("l_quantity").alias("u_0m"), F.col("l_tax").alias("v_0m"), F.col("l_discount").alias("u_2.5m"), F.col("l_tax").alias("v_2.5m"))
-    return grids.variable_by_depth(rows, "l_shipdate", "magnitude").select(F.col("l_shipdate").cast("string").alias("ts"), "level", "value")
+    return grids.variable_by_depth(rows, "l_shipdate", "magnitude").select(F.col("l_shipdate").cast("string").alias("ts"), "level", F.round("value", 9).alias("value"))
 
 
 @query()
