@@ -87,7 +87,7 @@ def test_quadrature():
 
 @pytest.fixture(scope="module")
 def sea(spark):
-    n = 30_000
+    n = 40_000
     hs = 0.4 + 2.0 * RNG.weibull(1.4, n)
     tp = np.exp(1.2 + 0.5 * hs**0.36 + np.sqrt(0.005 + 0.1 * np.exp(-0.3 * hs)) * RNG.standard_normal(n))
     ts = pd.Timestamp("1990-01-01") + pd.to_timedelta(np.arange(n) * 6, "h")
