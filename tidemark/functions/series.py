@@ -79,8 +79,13 @@ def grouped(df: DataFrame, sets: Sequence[Sequence[str]], value: str, stats: Seq
         joined = rest.alias("a").join(found.alias("b"), reduce(and_, [*same, F.lit(True)]))
         names = {label(s): F.col(f"a.{'_count' if s == 'count' else label(s)}") for s in plain}
         return joined.select(*(F.col(f"a.{k}") for k in keys), *(names.get(label(s), F.col(f"b.{label(s)}") if _percent(s) is not None else None).alias(label(s)) for s in stats))
-    aggs = [(F.round(statistic(s, F.col(value)), digits) if s != "count" else F.count(value)).alias(label(s)) for s in stats]
-    return df.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys)).agg(*aggs)
+    aggs = [(F.round(statistic(s, F.col(value)), digits) if s != "count" else F.count(value)).alias(label(s)) for s in plain]
+    ranks = [p for s in stats if (p := _percent(s)) is not None]
+    if ranks:  # all of them from one buffer of distinct values
+        aggs.append(F.percentile(value, ranks).alias("_q"))
+    found = df.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys)).agg(*aggs)
+    at = iter(range(len(ranks)))
+    return found.select(*map(F.col, keys), *(F.col(label(s)) if _percent(s) is None else F.round(F.col("_q")[next(at)], digits).alias(label(s)) for s in stats))
 
 
 def by_brackets(df: DataFrame, sets: Sequence[Sequence[str]], value: str, percentiles: dict[str, float], digits: int = 6, accuracy: int = ACCURACY) -> DataFrame:
