@@ -24,7 +24,7 @@ def _bisect(off, low: float, high: float, steps: int = 200) -> float:
 
 
 def fit_exponential(x: np.ndarray, w: np.ndarray | None = None) -> tuple[float, float]:
-    return float(x.min()), float((x * _weights(x, w)).sum() - x.min())
+    return float(x.min()), max(0.0, float((x * _weights(x, w)).sum() - x.min()))  # 0, not a rounding error, where all are equal
 
 
 def fit_gumbel(x: np.ndarray, lower: bool = False, w: np.ndarray | None = None) -> tuple[float, float]:

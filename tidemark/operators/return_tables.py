@@ -65,8 +65,8 @@ def _samples(df: DataFrame, name: str, ts: str, value: str, method: str, thresho
 
 
 def _thresholds(df: DataFrame, name: str, ts: str, value: str, threshold: str | float) -> DataFrame:
-    """_k, threshold, events (rows a year that reach it; null unless it is a percentile): the least yearly maximum, a percentile
-    such as 'P95', or a number."""
+    """_k, threshold, events (rows a year that reach it, infinite where all rows are of one day; null unless it is a percentile):
+    the least yearly maximum, a percentile such as 'P95', or a number."""
     rows = _both(df, name)
     if threshold == "default":
         found = rows.groupBy(name, F.year(ts)).agg(F.max(value).alias("x")).groupBy(name).agg(F.min("x").alias("threshold"))
@@ -79,7 +79,7 @@ def _thresholds(df: DataFrame, name: str, ts: str, value: str, threshold: str |
         return found.withColumn("events", F.lit(None).cast("double"))
     years = F.floor((F.max(_seconds(ts)) - F.min(_seconds(ts))) / 86400) / 365.25
     reached = rows.join(F.broadcast(found), F.col(name).eqNullSafe(F.col("_k")))
-    events = reached.groupBy("_k").agg((F.count_if(F.col(value) >= F.col("threshold")) / years).alias("events"))
+    events = reached.groupBy("_k").agg(F.coalesce(F.try_divide(F.count_if(F.col(value) >= F.col("threshold")), years), F.when(years == 0, math.inf)).alias("events"))
     return found.alias("f").join(F.broadcast(events.alias("e")), F.col("f._k").eqNullSafe(F.col("e._k"))).select("f._k", "threshold", "events")
 
 
@@ -120,7 +120,7 @@ def return_table(df: DataFrame, ts: str, value: str, key: Column, name: str, per
             for r in batch.to_dict("records"):
                 whole = pd.isna(r[name])
                 years = np.array([(ONE_YEAR if isinstance(t, float) and t == 1 else t) * (1.0 if whole else factor) for t in periods])
-                found = _fitted(r, distribution, YEAR_HOURS * years / (r["_days"] * 24 / r["_n"]))
+                found = _fitted(r, distribution, YEAR_HOURS * years / (r["_days"] * 24 / r["_n"]), by_sums)
                 out.append((None if whole else int(r[name]), int(r["n"]), *found))
             yield pd.DataFrame(out, columns=[name, "n", "shape", "loc", "scale", *values]).astype({name: "Int32"})
 
@@ -143,20 +143,25 @@ def return_table(df: DataFrame, ts: str, value: str, key: Column, name: str, per
     return out
 
 
-def _fitted(r: dict, distribution: str, samples: np.ndarray) -> list[float | None]:
-    """shape, loc, scale and the values; nulls where there are too few rows or no spread."""
-    nothing = [None] * (3 + len(samples))
+def _fitted(r: dict, distribution: str, samples: np.ndarray, by_sums: bool) -> list[float | None]:
+    """shape, loc, scale and the values; nulls where there are too few rows or no spread.
+
+    EXP has a closed form, so one row or no spread will do (scale 0), and its line goes on below loc for periods under a step.
+    """
+    nothing, exponential = [None] * (3 + len(samples)), distribution == "EXP"
     with np.errstate(all="ignore"):
-        if r["xs"] is None:
-            if r["n"] < 3 or not r["var"] or not r["var"] > 0:
+        if by_sums:
+            if not exponential and (r["n"] < 3 or not r["var"] or not r["var"] > 0):
                 return nothing
-            fit = (None, r["least"], r["mean"] - r["least"]) if distribution == "EXP" else weibull(float(r["mean"]), float(r["var"]), float(r["skew"]))
+            fit = (None, r["least"], max(0.0, r["mean"] - r["least"])) if exponential else weibull(float(r["mean"]), float(r["var"]), float(r["skew"]))
         else:
+            if r["xs"] is None:  # no row over the threshold
+                return nothing
             x, w = np.asarray(r["xs"], float), np.asarray(r["ws"], float)
-            if w.sum() < 3 or not x.max() > x.min():
+            if not exponential and (w.sum() < 3 or not x.max() > x.min()):
                 return nothing
             fit = distributions.FITS[distribution](x, w)
-        values = distributions.exceeded(distribution, fit, np.where(samples > 1, 1 / np.maximum(samples, 1e-9), np.nan))
+        values = distributions.exceeded(distribution, fit, np.where(exponential | (samples > 1), 1 / np.maximum(samples, 1e-9), np.nan))
     return [None if c is None else float(c) for c in fit] + [float(v) if math.isfinite(v) else None for v in values]
 
 
