@@ -51,3 +51,14 @@ def test_levels_without_a_peak_are_null(spark, tmp_path, n):
     orders(2400, n, np.linspace(1000, 299_999, n)).to_parquet(tmp_path / "orders.parquet", index=False)
     got = registry.QUERIES["peak_return_levels"](spark, str(tmp_path)).collect()
     assert sorted(r.period for r in got) == [50, 100, 1000] and all(r.value is None and r.non_exceedance is None for r in got)
+
+
+def events(values):
+    ts = pd.Timestamp("2024-01-30") + pd.to_timedelta(np.arange(len(values)), "h")
+    return pd.DataFrame({"event_id": np.arange(len(values)), "ts": ts.astype("datetime64[us]"), "value": np.asarray(values, float)})
+
+
+@pytest.mark.parametrize("values", [[300.0] * 80, [300.0] * 60 + [100.0] * 4 + [300.0] * 16, []])
+def test_window_table_without_windows(both, values):
+    got, want = both("weather_window", events=events(values))
+    assert got == want and len(got) == (3 if 100.0 in values else 1)

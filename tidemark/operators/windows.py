@@ -32,10 +32,13 @@ def waiting(df: DataFrame, ts: str, ok: Column, steps: int, hours: float, by: Se
 
 
 def window_table(waits: DataFrame, ts: str) -> DataFrame:
-    """Mean and quantiles of the days needed, by month of the row and over all."""
+    """Mean and quantiles of the days needed, by month of the row and over all; the row over all is there even if no row waits."""
     keyed = waits.select(F.month(ts).alias("month"), (F.col("wait_h") / 24).alias("d"))
+    # grouping sets of no rows have no total, so a row that counts nowhere is added
+    keyed = keyed.union(waits.sparkSession.range(1).select(F.lit(None).cast("int"), F.lit(None).cast("double")))
     stats = [F.round(c, 6).alias(n) for n, c in (("mean", F.avg("d")), ("p10", F.percentile("d", 0.1)), ("p50", F.percentile("d", 0.5)), ("p90", F.percentile("d", 0.9)), ("p95", F.percentile("d", 0.95)), ("max", F.max("d")))]
-    return keyed.groupingSets([[F.col("month")], []], F.col("month")).agg(F.count(F.lit(1)).alias("n"), *stats)
+    found = keyed.groupingSets([[F.col("month")], []], F.col("month")).agg(F.count("d").alias("n"), *stats, F.grouping("month").alias("_all"))
+    return found.where("n > 0 OR _all = 1").drop("_all")
 
 
 def limit_sequence(df: DataFrame, ts: str, value: str, limits: Sequence[float], by: Sequence[str] = (), upper: bool = True, inclusive: bool = True) -> DataFrame:
