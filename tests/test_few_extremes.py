@@ -62,3 +62,9 @@ def events(values):
 def test_window_table_without_windows(both, values):
     got, want = both("weather_window", events=events(values))
     assert got == want and len(got) == (3 if 100.0 in values else 1)
+
+
+@pytest.mark.parametrize("values", [[300.0] * 80, [300.0] * 60 + [100.0] * 4 + [300.0] * 16])
+def test_window_percentile_without_windows(both, values):
+    got, want = both("weather_window_p95", events=events(values))
+    assert got == want and len(got) == (3 if 100.0 in values else 1)
