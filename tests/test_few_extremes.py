@@ -38,6 +38,15 @@ def test_peaks_of_sectors_are_capped_by_the_one_peak_of_all(both, days, n, tied)
     assert got == want
 
 
+@pytest.mark.parametrize("days,n,tied", [(30, 3000, 0), (2400, 3000, 0), (60, 240, 220)])
+def test_thresholds_of_large_tables_are_exact(both, monkeypatch, days, n, tied):
+    monkeypatch.setattr("tidemark.operators.return_tables.SMALL", 0)
+    df = orders(days, n)
+    df.loc[:tied, "o_totalprice"] = 600_000.0
+    got, want = both("directional_return_table_peaks", orders=df)
+    assert got == want
+
+
 @pytest.mark.parametrize("over", [1, 2, 3])
 def test_levels_of_a_few_peaks(both, over):
     df = orders(2400, 500, np.linspace(1000, 299_999, 500))

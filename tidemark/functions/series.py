@@ -88,7 +88,7 @@ def grouped(df: DataFrame, sets: Sequence[Sequence[str]], value: str, stats: Seq
     return found.select(*map(F.col, keys), *(F.col(label(s)) if _percent(s) is None else F.round(F.col("_q")[next(at)], digits).alias(label(s)) for s in stats))
 
 
-def by_brackets(df: DataFrame, sets: Sequence[Sequence[str]], value: str, percentiles: dict[str, float], digits: int = 6, accuracy: int = ACCURACY) -> DataFrame:
+def by_brackets(df: DataFrame, sets: Sequence[Sequence[str]], value: str, percentiles: dict[str, float], digits: int | None = 6, accuracy: int = ACCURACY) -> DataFrame:
     """Exact percentiles of groups of any size, interpolated like percentile().
 
     A first pass finds, by a mergeable sketch whose rank error is bounded, a bracket of values that surely holds each percentile;
@@ -115,7 +115,7 @@ def by_brackets(df: DataFrame, sets: Sequence[Sequence[str]], value: str, percen
     first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))  # noqa: E731  the value at a rank from 0
     found = ranked.groupBy("g", "i").agg(first(F.floor("_rank")).alias("x"), first(F.ceil("_rank")).alias("y"), F.first(F.col("_rank") - F.floor("_rank")).alias("w"))
     exact = F.col("x") + (F.col("y") - F.col("x")) * F.col("w")
-    out = found.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.round(exact, digits))).alias(n) for i, n in enumerate(percentiles)))
+    out = found.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, exact if digits is None else F.round(exact, digits))).alias(n) for i, n in enumerate(percentiles)))
     return out.select(*(F.col(f"g.{k}") for k in keys), *percentiles)
 
 

@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import distributions
 from tidemark.functions.moments import weibull
-from tidemark.functions.series import clean, sector
+from tidemark.functions.series import by_brackets, clean, estimated_bytes, sector
 from tidemark.operators.extremes import peaks_over_threshold
 
 YEAR_HOURS = 365.2422 * 24
 ONE_YEAR = 1.5873  # what a period of one year given as a float stands for
 CLASSES = 8192
+SMALL = 32 << 20  # estimated bytes up to which the percentile of all rows may stand in one task's buffer
 METHODS = ("default", "AM", "POT", "minimum", "maximum")
 
 
@@ -70,6 +71,8 @@ def _thresholds(df: DataFrame, name: str, ts: str, value: str, threshold: str |
     rows = _both(df, name)
     if threshold == "default":
         found = rows.groupBy(name, F.year(ts)).agg(F.max(value).alias("x")).groupBy(name).agg(F.min("x").alias("threshold"))
+    elif isinstance(threshold, str) and threshold.startswith("P") and estimated_bytes(df) > SMALL:
+        found = by_brackets(df, [[name], []], value, {"threshold": float(threshold[1:]) / 100}, None)
     elif isinstance(threshold, str) and threshold.startswith("P"):
         found = rows.groupBy(name).agg(F.percentile(value, float(threshold[1:]) / 100).alias("threshold"))
     else:
