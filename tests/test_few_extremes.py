@@ -4,8 +4,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_registered import rows
 
+from tidemark.operators import windows
 from tidemark.plans import registry
 
 
@@ -77,3 +79,19 @@ def test_window_table_without_windows(both, values):
 def test_window_percentile_without_windows(both, values):
     got, want = both("weather_window_p95", events=events(values))
     assert got == want and len(got) == (3 if 100.0 in values else 1)
+
+
+@pytest.mark.parametrize("at", [0, 5, 25, 30])
+def test_rows_without_a_time_come_last(both, at):
+    df = events([100.0] * 3 + [300.0] * 20 + [100.0] * 3 + [300.0] * 9 + [100.0] * 2)
+    df.loc[at, "ts"] = pd.NaT
+    got, want = both("weather_window_p95", events=df)
+    assert got == want
+
+
+def test_waiting_takes_one_step_a_row(spark):
+    """A frame up to the end is worked out anew for each row, so its time grows with the square of the series."""
+    rows = spark.range(9).selectExpr("timestamp_ntz'2024-01-30' + make_dt_interval(0, int(id)) AS ts", "id % 5 AS x")
+    waits = windows.waiting(rows, "ts", F.col("x") < 3, 3, 1.0)
+    assert "unboundedfollowing" not in waits._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.wait_h for r in waits.orderBy("ts").collect()] == [3, 7, 6, 5, 4, 3]

@@ -1,7 +1,7 @@
 """Weather windows on a regular series: runs, waiting time, limit sequences, start probability.
 
 Ordered frames over one whole series stand in one task by nature of the data: a site's series is hourly, so a century is
-under a million rows. `by` names the columns that tell sites apart; each site is ordered on its own.
+under a million rows. `by` names the columns that tell sites apart; each site is ordered on its own, rows without a time last.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 
 def _order(ts: str, by: Sequence[str]):
-    return Window.partitionBy(*by).orderBy(ts)
+    return Window.partitionBy(*by).orderBy(F.col(ts).asc_nulls_last())
 
 
 def starts(df: DataFrame, ts: str, ok: Column, steps: int, by: Sequence[str] = ()) -> DataFrame:
@@ -27,7 +27,9 @@ def waiting(df: DataFrame, ts: str, ok: Column, steps: int, hours: float, by: Se
     """Adds wait_h: hours to the next start, its own duration included; rows after the last start are dropped."""
     order = _order(ts, by)
     df = starts(df, ts, ok, steps, by).withColumn("_k", F.row_number().over(order))
-    ahead = F.min(F.when(F.col("start"), F.col("_k"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # read from the end, as a frame up to the end is worked out anew for each row
+    back = Window.partitionBy(*by).orderBy(F.col("_k").desc())
+    ahead = F.min(F.when(F.col("start"), F.col("_k"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("wait_h", (ahead - F.col("_k") + steps) * F.lit(float(hours))).where("wait_h is not null").drop("_k")
 
 
