@@ -95,3 +95,14 @@ def test_waiting_takes_one_step_a_row(spark):
     waits = windows.waiting(rows, "ts", F.col("x") < 3, 3, 1.0)
     assert "unboundedfollowing" not in waits._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r.wait_h for r in waits.orderBy("ts").collect()] == [3, 7, 6, 5, 4, 3]
+
+
+def test_window_hours_do_not_depend_on_the_time_zone(both, spark):
+    df = events(np.where(np.random.default_rng(1).random(3000) < 0.5, 100, 300))  # over the last Sunday of March, when 02:00 is missing
+    df["ts"] = (df["ts"] + pd.Timedelta(seconds=59 * 60 + 59.999999)).astype("datetime64[us]")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Oslo")
+    try:
+        got, want = both("weather_window_p95", events=df)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
